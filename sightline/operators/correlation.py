@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.columns import nan_to_null, numeric_columns, quoted
+from sightline.functions.columns import count_if, nan_to_null, numeric_columns, quoted
 from sightline.plans.gram import centred_vif, cross_moments, uncentred_vif
 from sightline.plans.longform import aggregate_rows
 from sightline.plans.ranks import attach_ranks, value_splits
@@ -60,20 +60,37 @@ def _pearson(base: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _spearman(base: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson on average ranks, ranked anew within each pair's complete rows."""
+    """Pearson on average ranks.
+
+    Columns without nulls are ranked once and share one aggregate; a pair with
+    nulls is ranked anew within its complete rows.
+    """
+    holes = base.agg(*[count_if(quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    full = [c for i, c in enumerate(cols) if holes[i] == 0]
     out = None
+    if full:
+        ranked = attach_ranks(base.select(*full), full)
+        pairs = [(i, j) for i in range(len(full)) for j in range(i, len(full))]
+        out = aggregate_rows(
+            ranked,
+            [
+                [F.lit(full[i]).alias("col_a"), F.lit(full[j]).alias("col_b"), F.corr(f"_r{i}", f"_r{j}").alias("r")]
+                for i, j in pairs
+            ],
+        )
     for i, a in enumerate(cols):
         for b in cols[i:]:
+            if a in full and b in full:
+                continue
             one = spearman_pair(base, a, b).select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), "r")
             out = one if out is None else out.unionByName(one)
     return out
 
 
 def spearman_pair(base: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (r, n). Equal pairs are counted first, then weighted moments of ranks are summed."""
+    """One row (r, n) over the rows that have both columns."""
     rows = base.select(quoted(a).cast("double").alias("x"), quoted(b).cast("double").alias("y")).dropna()
-    ranked = attach_ranks(attach_ranks(rows, "x", "rx"), "y", "ry")
-    return ranked.agg(F.corr("rx", "ry").alias("r"), F.count("*").alias("n"))
+    return attach_ranks(rows, ["x", "y"]).agg(F.corr("_r0", "_r1").alias("r"), F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- Kendall

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.columns import quoted
 from sightline.plans.longform import aggregate_rows
+from sightline.plans.lookup import attach
 from sightline.plans.storage import materialise
 
 # Up to this many rows the built-in exact percentile (which keeps its values in
@@ -151,25 +152,18 @@ def _selected(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys:
     return hits.groupBy(*keys, "column").agg(F.transform(ordered, lambda s: s["v"]).alias("q"))
 
 
-def attach_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Every row with the average rank of its value.
+def attach_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "_r") -> DataFrame:
+    """Every row with the average rank of each column's value, as ``prefix`` + index.
 
-    A value common enough to overload one join task is looked up in a broadcast
-    table (at most ``buckets`` values can each hold one bucket's share); the rest
-    join by value.
+    The rank table is kept, since every column and both sides of the lookup read it.
     """
-    buckets = bucket_count(df)
-    ranks = value_ranks(df, [col], buckets=buckets).select(
-        F.col("value").alias("_rv"), F.col("rank").alias(out), "count", "n"
-    )
-    common = F.col("count") * F.lit(buckets) > F.col("n")
-    hot = F.broadcast(ranks.where(common).drop("count", "n"))
-    cold = ranks.where(~common).drop("count", "n")
-    rows = df.withColumn("_rk", quoted(col).cast("double"))
-    on = F.col("_rk") == F.col("_rv")
-    hit = rows.join(hot, on, "inner")
-    rest = rows.join(hot, on, "left_anti").join(cold, on, "inner")
-    return hit.unionByName(rest).drop("_rk", "_rv")
+    heavy = bucket_count(df)
+    ranks = materialise(value_ranks(df, cols, buckets=heavy))
+    rows = df
+    for i, c in enumerate(cols):
+        mine = ranks.where(F.col("column") == c).withColumnRenamed("rank", f"{prefix}{i}")
+        rows = attach(rows, quoted(c).cast("double"), mine, [f"{prefix}{i}"], heavy)
+    return rows
 
 
 def row_positions(df: DataFrame, order_by: Sequence[str], out: str = "_pos") -> tuple[DataFrame, int]:

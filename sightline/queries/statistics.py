@@ -1 +1,133 @@
-"""To come."""
+"""Hypothesis tests and regressions over the shared tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sightline.operators import hypothesis as h
+from sightline.queries.registry import query, table, view
+
+
+def _two_types(spark, sf):
+    return table(spark, sf, "events").where(F.col("event_type").isin("click", "view")).select("event_type", "value")
+
+
+@query(
+    "tst_anova",
+    """WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY event_type),
+    a AS (SELECT avg(value) AS grand FROM events)
+    SELECT 'One-Way ANOVA' AS test, count(*) AS groups, sum(n)::BIGINT AS n, (count(*) - 1)::DOUBLE AS dof,
+    round((sum(n * (m - grand) ** 2) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))), 6) AS statistic FROM g, a""",
+)
+def _(spark, sf):
+    return h.anova(table(spark, sf, "events"), "value", "event_type").select("test", "groups", "n", "dof", "statistic")
+
+
+RANKED = "rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0"
+
+
+@query(
+    "tst_kruskal",
+    f"""WITH r AS (SELECT event_type, {RANKED.format(v='value')} AS rk FROM events),
+    t AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS c FROM events GROUP BY value)),
+    g AS (SELECT event_type, count(*)::DOUBLE AS n, sum(rk)::DOUBLE AS s FROM r GROUP BY event_type)
+    SELECT 'Kruskal-Wallis H Test' AS test, count(*) AS groups, sum(n)::BIGINT AS n, (count(*) - 1)::DOUBLE AS dof,
+    round((12 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) /
+          (1 - any_value(ties) / (sum(n) ** 3 - sum(n))), 6) AS statistic FROM g, t""",
+)
+def _(spark, sf):
+    return h.kruskal_wallis(table(spark, sf, "events"), "value", "event_type").select("test", "groups", "n", "dof", "statistic")
+
+
+@query(
+    "tst_chi2",
+    """WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS o FROM lineitem GROUP BY 1, 2),
+    r AS (SELECT a, sum(o) AS ra FROM c GROUP BY a), k AS (SELECT b, sum(o) AS cb FROM c GROUP BY b),
+    t AS (SELECT sum(o) AS n FROM c),
+    e AS (SELECT coalesce(o, 0) AS o, ra * cb / n AS e, n FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c ON c.a = r.a AND c.b = k.b)
+    SELECT 'Chi-Square Test of Independence' AS test, round(sum((o - e) ** 2 / e), 6) AS statistic,
+    round(sqrt(sum((o - e) ** 2 / e) / (any_value(n) * (least((SELECT count(*) FROM r), (SELECT count(*) FROM k)) - 1))), 6) AS effect_size,
+    (((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM k) - 1))::DOUBLE AS dof, any_value(n)::BIGINT AS n FROM e""",
+)
+def _(spark, sf):
+    return h.chi_square(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").select(
+        "test", "statistic", "effect_size", "dof", "n"
+    )
+
+
+@query(
+    "tst_chi2_yates",
+    """WITH c AS (SELECT quality AS a, toxic AS b, count(*)::DOUBLE AS o FROM labels GROUP BY 1, 2),
+    r AS (SELECT a, sum(o) AS ra FROM c GROUP BY a), k AS (SELECT b, sum(o) AS cb FROM c GROUP BY b),
+    t AS (SELECT sum(o) AS n FROM c),
+    e AS (SELECT coalesce(o, 0) AS o, ra * cb / n AS e, n FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c ON c.a = r.a AND c.b = k.b)
+    SELECT round(sum((abs(o - e) - least(0.5, abs(o - e))) ** 2 / e), 6) AS statistic, 1.0::DOUBLE AS dof,
+    any_value(n)::BIGINT AS n FROM e""",
+)
+def _(spark, sf):
+    return h.chi_square(table(spark, sf, "labels"), "quality", "toxic").select("statistic", "dof", "n")
+
+
+@query(
+    "tst_t",
+    """WITH g AS (SELECT toxic, count(*) AS n, avg(n_chars) AS m, var_samp(n_chars) AS v FROM fx_text_labels GROUP BY toxic),
+    p AS (SELECT a.m AS m1, b.m AS m2, a.n AS n1, b.n AS n2,
+          ((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) AS s2 FROM g a, g b WHERE a.toxic = 0 AND b.toxic = 1)
+    SELECT 'Independent t-test' AS test, round((m1 - m2) / sqrt(s2 * (1.0 / n1 + 1.0 / n2)), 6) AS statistic,
+    round(abs((m1 - m2) / (sqrt(s2) + 1e-9)), 6) AS effect_size, (n1 + n2 - 2)::DOUBLE AS dof, n1 + n2 AS n FROM p""",
+)
+def _(spark, sf):
+    return h.t_test(view(spark, sf, "fx_text_labels"), "n_chars", "toxic").select("test", "statistic", "effect_size", "dof", "n")
+
+
+@query(
+    "tst_mwu",
+    f"""WITH r AS (SELECT quality, {RANKED.format(v='n_chars')} AS rk FROM fx_text_labels)
+    SELECT 'Mann-Whitney U Test' AS test, round(sum(rk) FILTER (quality = 0) -
+    count(*) FILTER (quality = 0) * (count(*) FILTER (quality = 0) + 1) / 2.0, 6)::DOUBLE AS statistic, count(*) AS n FROM r""",
+)
+def _(spark, sf):
+    return h.mann_whitney(view(spark, sf, "fx_text_labels"), "n_chars", "quality").select("test", "statistic", "n")
+
+
+@query(
+    "tst_pearson",
+    """SELECT 'Pearson Correlation' AS test, round(corr(l_quantity, l_extendedprice), 6) AS statistic,
+    (count(*) - 2)::DOUBLE AS dof, count(*) AS n FROM lineitem""",
+)
+def _(spark, sf):
+    return h.pearson_test(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select("test", "statistic", "dof", "n")
+
+
+@query(
+    "tst_spearman",
+    f"""WITH r AS (SELECT {RANKED.format(v='n_chars')} AS a, {RANKED.format(v='quality')} AS b FROM fx_text_labels)
+    SELECT 'Spearman Correlation' AS test, round(corr(a, b), 6) AS statistic, count(*) AS n FROM r""",
+)
+def _(spark, sf):
+    return h.spearman_test(view(spark, sf, "fx_text_labels"), "n_chars", "quality").select("test", "statistic", "n")
+
+
+@query("tst_normality")
+def _(spark, sf):
+    return h.normality(table(spark, sf, "events"), "value", ["event_type"])
+
+
+@query("tst_recommend_numeric")
+def _(spark, sf):
+    return h.recommend_test(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query("tst_recommend_groups")
+def _(spark, sf):
+    return h.recommend_test(table(spark, sf, "events"), "value", "event_type")
+
+
+@query("tst_recommend_independence")
+def _(spark, sf):
+    return h.recommend_test(table(spark, sf, "documents"), "lang", "source")
+
+
+@query("tst_hypothesis")
+def _(spark, sf):
+    return h.build_hypothesis(view(spark, sf, "fx_text_labels"), "n_chars", "differs by", "lang")
