@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from sightline.functions.columns import nan_to_null, quoted
 
-WIDE = 30
+# Beyond this many columns one aggregate per pair costs more than a pass in numpy.
+WIDE = 12
 
 
 @dataclass(frozen=True)

@@ -131,3 +131,116 @@ def _(spark, sf):
 @query("tst_hypothesis")
 def _(spark, sf):
     return h.build_hypothesis(view(spark, sf, "fx_text_labels"), "n_chars", "differs by", "lang")
+
+
+# ---------------------------------------------------------------- regression
+
+from sightline.operators import regression as r  # noqa: E402
+
+PRICE = ("l_quantity", "l_discount", "l_tax")
+
+
+@query("reg_ols")
+def _(spark, sf):
+    return r.ols(table(spark, sf, "lineitem"), "l_extendedprice", PRICE).coefficients
+
+
+@query(
+    "reg_ols_fit",
+    """WITH f AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a, regr_r2(y, x1) AS r2, count(*)::DOUBLE AS n FROM fx_reg)
+    SELECT unnest(['const', 'x1', 'r_squared', 'r_squared_adj', 'n_observations']) AS measure,
+    unnest([round(a, 6), round(b, 6), round(r2, 6), round(1 - (1 - r2) * (n - 1) / (n - 2), 6), n]) AS value FROM f""",
+)
+def _(spark, sf):
+    fit = r.ols(view(spark, sf, "fx_reg"), "y", ["x1"])
+    terms = fit.coefficients.select(F.col("term").alias("measure"), F.col("coefficient").alias("value"))
+    wanted = ["r_squared", "r_squared_adj", "n_observations"]
+    return terms.unionByName(fit.summary.where(F.col("measure").isin(wanted)))
+
+
+@query(
+    "reg_ols_two",
+    """WITH m AS (SELECT covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12, covar_pop(x2, x2) AS s22, covar_pop(x1, y) AS s1y,
+    covar_pop(x2, y) AS s2y, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM fx_reg),
+    b AS (SELECT (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2, * FROM m)
+    SELECT unnest(['const', 'x1', 'x2']) AS term, unnest([round(my - b1 * m1 - b2 * m2, 5), round(b1, 5), round(b2, 5)]) AS coefficient FROM b""",
+    places=5,
+)
+def _(spark, sf):
+    return r.ols(view(spark, sf, "fx_reg"), "y", ["x1", "x2"]).coefficients.select("term", "coefficient")
+
+
+@query("reg_ols_summary")
+def _(spark, sf):
+    return r.ols(table(spark, sf, "lineitem"), "l_extendedprice", PRICE).summary
+
+
+@query(
+    "reg_durbin_watson",
+    """WITH f AS (SELECT regr_slope(value, user_id) AS b, regr_intercept(value, user_id) AS a FROM events),
+    e AS (SELECT value - a - b * user_id AS e, ts, event_id FROM events, f),
+    d AS (SELECT e, e - lag(e) OVER (ORDER BY ts, event_id) AS s FROM e)
+    SELECT round(sum(s * s) / sum(e * e), 6) AS durbin_watson FROM d""",
+)
+def _(spark, sf):
+    fit = r.ols(table(spark, sf, "events"), "value", ["user_id"], keep=["ts", "event_id"])
+    return r.durbin_watson(fit, ["ts", "event_id"])
+
+
+@query(
+    "reg_ridge",
+    """WITH g AS (SELECT avg(x1) AS m, avg(x1 * x1) AS q, avg(y) AS y, avg(x1 * y) AS xy FROM fx_reg)
+    SELECT unnest(['const', 'x1']) AS term, unnest([round((y * (q + 1) - m * xy) / (2 * (q + 1) - m * m), 6),
+    round((2 * xy - m * y) / (2 * (q + 1) - m * m), 6)]) AS coefficient FROM g""",
+)
+def _(spark, sf):
+    return r.ridge(view(spark, sf, "fx_reg"), "y", ["x1"]).coefficients.select("term", "coefficient")
+
+
+@query("reg_lasso")
+def _(spark, sf):
+    return r.lasso(view(spark, sf, "fx_reg"), "y", ["x1", "x2"]).coefficients.select("term", "coefficient")
+
+
+@query("reg_logistic")
+def _(spark, sf):
+    return r.logistic(view(spark, sf, "fx_text_labels"), "quality", ["n_chars"]).coefficients
+
+
+@query("reg_logistic_summary")
+def _(spark, sf):
+    return r.logistic(view(spark, sf, "fx_text_labels"), "quality", ["n_chars", "lang"]).summary
+
+
+@query("reg_poisson")
+def _(spark, sf):
+    days = view(spark, sf, "fx_order_days").withColumn("weekday", F.weekday("d"))
+    return r.poisson(days, "n", ["weekday"]).coefficients
+
+
+@query(
+    "reg_vif",
+    """WITH g AS (SELECT sum(x1 * x1) AS a, sum(x2 * x2) AS b, sum(x1 * x2) AS c FROM fx_reg)
+    SELECT unnest(['x1', 'x2']) AS "column", round(a * b / (a * b - c * c), 2) AS vif FROM g""",
+)
+def _(spark, sf):
+    return r.ols(view(spark, sf, "fx_reg"), "y", ["x1", "x2"]).vif()
+
+
+@query(
+    "reg_residuals",
+    """WITH f AS (SELECT regr_slope(value, user_id) AS b, regr_intercept(value, user_id) AS a FROM events),
+    e AS (SELECT a + b * user_id AS fitted, value - a - b * user_id AS e FROM events, f)
+    SELECT 'Breusch-Pagan' AS "check", round(count(*) * regr_r2(e * e, fitted), 6) AS statistic FROM e
+    UNION ALL SELECT 'std_residual', round(stddev_pop(e), 6) FROM e""",
+)
+def _(spark, sf):
+    fit = r.ols(table(spark, sf, "events"), "value", ["user_id"], keep=["event_id"])
+    out = r.residual_diagnostics(fit, ["event_id"]).select("check", "statistic")
+    return out.where(F.col("check").isin("Breusch-Pagan", "std_residual"))
+
+
+@query("reg_residual_normality")
+def _(spark, sf):
+    fit = r.ols(table(spark, sf, "events"), "value", ["user_id"], keep=["event_id"])
+    return r.residual_diagnostics(fit, ["event_id"])
