@@ -77,7 +77,7 @@ def _(spark, sf):
 @query(
     "ml_apply_features",
     """WITH f AS (SELECT props, count(*)::DOUBLE / (SELECT count(*) FROM events) AS s FROM events GROUP BY props)
-    SELECT event_id, user_id, value, ln(1 + value) AS log_value, event_id * user_id AS event_id_x_user_id, year(ts)::INT AS ts_year,
+    SELECT event_id, user_id, value, round(ln(1 + value), 6) AS log_value, event_id * user_id AS event_id_x_user_id, year(ts)::INT AS ts_year,
     month(ts)::INT AS ts_month, day(ts)::INT AS ts_day, (isodow(ts) - 1)::INT AS ts_dayofweek, quarter(ts)::INT AS ts_quarter,
     (isodow(ts) >= 6)::INT AS ts_is_weekend, events.props, round(f.s, 6) AS props_freq, """
     + ", ".join(f"event_type = '{e}' AS event_type_{e}" for e in ("click", "error", "purchase", "signup", "view"))
