@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.columns import quoted
+from sightline.functions.columns import nan_to_null, quoted
 from sightline.plans.longform import aggregate_rows
 from sightline.plans.lookup import attach
 from sightline.plans.storage import materialise
@@ -46,14 +46,16 @@ def value_splits(df: DataFrame, cols: Sequence[str], buckets: int) -> dict[str,
             if v in seen:
                 inner.add(math.nextafter(v, math.inf))
             seen.add(v)
-        inner -= {-math.inf, math.inf}
+        inner = {v for v in inner if math.isfinite(v)}
         edges[c] = [-math.inf, *sorted(inner), math.inf] if inner else [-math.inf, 0.0, math.inf]
     return edges
 
 
 def bucketed(df: DataFrame, cols: Sequence[str], keys: Sequence[str], buckets: int | None) -> DataFrame:
     """(keys..., column, bucket, value) for the non-null values."""
-    base = df.select(*[quoted(k) for k in keys], *[quoted(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    base = nan_to_null(
+        df.select(*[quoted(k) for k in keys], *[quoted(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    )
     names = [f"_v{i}" for i in range(len(cols))]
     edges = value_splits(base, names, buckets or bucket_count(df))
     cut = Bucketizer(
@@ -66,7 +68,7 @@ def bucketed(df: DataFrame, cols: Sequence[str], keys: Sequence[str], buckets: i
         F.struct(F.lit(c).alias("column"), F.col(f"_b{i}").cast("int").alias("bucket"), F.col(f"_v{i}").alias("value"))
         for i, c in enumerate(cols)
     ]
-    return cut.select(*keys, F.inline(F.array(*entries))).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return cut.select(*keys, F.inline(F.array(*entries))).where(F.col("value").isNotNull())
 
 
 def value_ranks(
