@@ -7,14 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import count_if, nan_to_null, numeric_columns, quoted
 from sightline.plans.gram import centred_vif, cross_moments, uncentred_vif
 from sightline.plans.longform import aggregate_rows
-from sightline.plans.ranks import attach_ranks, value_splits
+from sightline.plans.ranks import attach_ranks
 from sightline.plans.storage import materialise
 
 MATRIX = "col_a string, col_b string, r double"
@@ -95,8 +94,11 @@ def spearman_pair(base: DataFrame, a: str, b: str) -> DataFrame:
 
 # ---------------------------------------------------------------- Kendall
 
-PAIR_BUCKET_ROWS = 200_000
-MAX_SIDE = 1024
+# A block of at most this many distinct points is counted in one task.
+PAIR_BLOCK_ROWS = 200_000
+CUTS = 64
+# Up to this many blocks their edges are broadcast.
+BROADCAST_BLOCKS = 2000
 
 
 def _inversions(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -140,59 +142,76 @@ def _block(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"con": [con], "dis": [dis]})
 
 
-def kendall_pair(base: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (r, n): tau-b with ties corrected.
+def _grid(batch: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one block whose buckets differ on both axes, from the bucket counts."""
+    cells = np.zeros((int(batch["bp"].max()) + 1, int(batch["bq"].max()) + 1))
+    cells[batch["bp"].to_numpy(), batch["bq"].to_numpy()] = batch["cnt"].to_numpy()
+    below, above = np.zeros_like(cells), np.zeros_like(cells)
+    below[1:, 1:] = cells.cumsum(0).cumsum(1)[:-1, :-1]
+    above[1:, :-1] = cells[:, ::-1].cumsum(0).cumsum(1)[:, ::-1][:-1, 1:]
+    return pd.DataFrame({"con": [float((cells * below).sum())], "dis": [float((cells * above).sum())]})
+
+
+def _bucket(value: str, edges: str) -> Column:
+    """Even numbers between edges, odd ones for values on an edge, which are alone there."""
+    at = F.size(F.filter(edges, lambda e: e < F.col(value)))
+    return (at * 2 + F.array_contains(edges, F.col(value)).cast("int")).cast("int")
+
 
-    The plane is cut into quantile buckets on both axes. Pairs whose buckets
-    differ on both axes follow from the bucket counts; pairs sharing a bucket are
-    counted inside it. A value heavy enough to fill a bucket has one of its own,
-    where every pair is a tie, so such buckets need no counting.
+def _pair_counts(points: DataFrame) -> tuple[float, float]:
+    """Concordant and discordant pairs of (p, q, cnt), however many there are.
+
+    A block too large for one task is cut into quantile buckets on both axes. Pairs
+    that differ in both buckets follow from the bucket counts. Those sharing a p
+    bucket form a block of their own, and those sharing only a q bucket another, with
+    the p bucket in place of p; each is cut again while it is too large. A value
+    common enough to be an edge is alone in its bucket, where all pairs are ties.
     """
-    rows = base.select(quoted(a).cast("double").alias("x"), quoted(b).cast("double").alias("y")).dropna()
-    counted = materialise(rows.groupBy("x", "y").agg(F.count("*").alias("cnt")))
-    distinct = counted.count()
-    side = int(min(MAX_SIDE, max(4, math.ceil(distinct / PAIR_BUCKET_ROWS))))
-    edges = value_splits(counted, ["x", "y"], side)
-    cut = Bucketizer(
-        inputCols=["x", "y"], outputCols=["_bx", "_by"], splitsArray=[edges["x"], edges["y"]], handleInvalid="keep"
-    ).transform(counted)
-    cut = cut.select("x", "y", "cnt", F.col("_bx").cast("int").alias("bx"), F.col("_by").cast("int").alias("by"))
-
-    grid = np.zeros((len(edges["x"]) - 1, len(edges["y"]) - 1))
-    for r in cut.groupBy("bx", "by").agg(F.sum("cnt").alias("c")).collect():  # at most side x side cells
-        grid[r["bx"], r["by"]] = r["c"]
-    lower = np.zeros_like(grid)
-    upper = np.zeros_like(grid)
-    sums = grid.cumsum(0).cumsum(1)
-    lower[1:, 1:] = sums[:-1, :-1]
-    back = grid[:, ::-1].cumsum(0).cumsum(1)[:, ::-1]
-    upper[1:, :-1] = back[:-1, 1:]
-    con, dis = float((grid * lower).sum()), float((grid * upper).sum())
-
-    def mixed(by: str, value: str) -> DataFrame:
-        several = cut.groupBy(by).agg(F.min(value).alias("_l"), F.max(value).alias("_h")).where("_l < _h").select(by)
-        return cut.join(F.broadcast(several), by, "left_semi")
-
-    blocks = (
-        mixed("bx", "x")
-        .select(F.concat(F.lit("x"), "bx").alias("block"), F.col("x").alias("p"), F.col("y").alias("q"), "cnt")
-        .unionByName(
-            mixed("by", "y").select(
-                F.concat(F.lit("y"), "by").alias("block"), F.col("bx").cast("double").alias("p"), F.col("y").alias("q"), "cnt"
+    con = dis = 0.0
+    blocks = materialise(points.select(F.lit("").alias("block"), "p", "q", "cnt"))
+    while True:
+        sizes = materialise(blocks.groupBy("block").agg(F.count("*").alias("rows")))
+        large = sizes.where(F.col("rows") > PAIR_BLOCK_ROWS)
+        number = large.count()
+        hint = F.broadcast if number <= BROADCAST_BLOCKS else (lambda t: t)
+        small = blocks.join(hint(large), "block", "left_anti")
+        parts = [small.groupBy("block").applyInPandas(_block, "con double, dis double")]
+        if number:
+            big = blocks.join(hint(large.select("block")), "block", "left_semi")
+            probs = [i / CUTS for i in range(1, CUTS)]
+            edges = big.groupBy("block").agg(
+                *[F.array_distinct(F.percentile_approx(c, probs, 20 * CUTS)).alias(f"e{c}") for c in ("p", "q")]
             )
-        )
-        # equal points inside a block count once, with their weight
-        .groupBy("block", "p", "q")
-        .agg(F.sum("cnt").alias("cnt"))
-    )
-    inner = blocks.groupBy("block").applyInPandas(_block, "con double, dis double").agg(F.sum("con"), F.sum("dis")).first()
-    con, dis = con + (inner[0] or 0.0), dis + (inner[1] or 0.0)
+            cut = big.join(hint(edges), "block").select(
+                "block", "p", "q", "cnt", _bucket("p", "ep").alias("bp"), _bucket("q", "eq").alias("bq")
+            )
+            cells = cut.groupBy("block", "bp", "bq").agg(F.sum("cnt").alias("cnt"))
+            parts.append(cells.groupBy("block").applyInPandas(_grid, "con double, dis double"))
+        for part in parts:
+            row = part.agg(F.sum("con"), F.sum("dis")).first()
+            con, dis = con + (row[0] or 0.0), dis + (row[1] or 0.0)
+        if not number:
+            return con, dis
+
+        def inside(axis: str, p: Column) -> DataFrame:
+            name = F.concat("block", F.lit(axis), F.col(f"b{axis}").cast("string"), F.lit("/"))
+            return cut.where(F.col(f"b{axis}") % 2 == 0).select(name.alias("block"), p.alias("p"), "q", "cnt")
+
+        deeper = inside("p", F.col("p")).unionByName(inside("q", F.col("bp").cast("double")))
+        blocks = materialise(deeper.groupBy("block", "p", "q").agg(F.sum("cnt").alias("cnt")))
+
+
+def kendall_pair(base: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (r, n): tau-b with ties corrected. Equal points are one point with a weight."""
+    rows = base.select(quoted(a).cast("double").alias("p"), quoted(b).cast("double").alias("q")).dropna()
+    counted = materialise(rows.groupBy("p", "q").agg(F.count("*").alias("cnt")))
+    con, dis = _pair_counts(counted)
 
-    def ties(col: str) -> DataFrame:
+    def ties(col: str):
         per = counted.groupBy(col).agg(F.sum("cnt").cast("double").alias("c"))
-        return per.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t"), F.sum("c").alias("n"))
+        return per.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t"), F.sum("c").alias("n")).first()
 
-    x, y = ties("x").first(), ties("y").first()
+    x, y = ties("p"), ties("q")
     n = x["n"] or 0.0
     pairs = n * (n - 1) / 2
     span = math.sqrt((pairs - (x["t"] or 0)) * (pairs - (y["t"] or 0)))

@@ -36,6 +36,8 @@ from sightline.plans.storage import materialise
 SEED = 42
 FOLDS = 5
 CLASS_LIMIT = 20
+# No model here can be trained on more classes than this.
+CLASS_CAPACITY = 1000
 SCALED = {"SVM", "KNN", "Logistic Regression", "Ridge", "Lasso", "ElasticNet"}
 CLASSIFIERS = ("Random Forest", "Logistic Regression", "Decision Tree", "KNN", "Naive Bayes", "Gradient Boosting", "SVM", "XGBoost", "LightGBM")
 REGRESSORS = ("Random Forest", "Linear Regression", "Decision Tree", "KNN", "Ridge", "Lasso", "ElasticNet", "Gradient Boosting", "XGBoost", "LightGBM")
@@ -122,7 +124,10 @@ def prepare(df: DataFrame, target: str, key: Sequence[str], test_size: float = 0
     classes: list = []
     if classify:
         # one entry per class of the model
-        classes = [r[0] for r in base.select("_target").distinct().orderBy("_target").collect()]
+        found = base.select("_target").distinct().limit(CLASS_CAPACITY + 1).collect()
+        if len(found) > CLASS_CAPACITY:
+            raise ValueError(f"{target} has more than {CLASS_CAPACITY} classes")
+        classes = sorted(r[0] for r in found)
         code = F.array_position(F.array(*[F.lit(c).cast(kind) for c in classes]), F.col("_target")) - 1
         base = base.withColumn("label", code.cast("double"))
     else:
@@ -133,7 +138,7 @@ def prepare(df: DataFrame, target: str, key: Sequence[str], test_size: float = 0
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(base.where(~F.col("is_test")))
     data = materialise(scaler.transform(base))
     facts = data.agg(
-        F.count("*"), F.count(F.when(~F.col("is_test"), 1)), F.stddev_samp(F.when(~F.col("is_test"), F.col("label")))
+        F.count("*"), F.count(F.when(~F.col("is_test"), 1)), F.stddev_pop(F.when(~F.col("is_test"), F.col("label")))
     ).first()
     return Prepared(data, features, classify, classes, facts[0], facts[1], facts[2] or 0.0)
 

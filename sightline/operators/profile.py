@@ -35,9 +35,10 @@ from sightline.plans.longform import (
     duplicate_rows,
     first_values,
     modes,
+    most_common,
     value_counts,
 )
-from sightline.plans.ranks import quantiles
+from sightline.plans.ranks import fits_buffer, quantiles, weighted_quantiles
 
 CATEGORY_LIMIT = 20
 CATEGORY_RATIO = 0.05
@@ -189,12 +190,17 @@ def describe_numeric(df: DataFrame, accuracy: int | None = None) -> DataFrame:
             for c in cols
         ],
     )
-    quarts = quantiles(df, cols, [0.25, 0.5, 0.75], accuracy=accuracy)
-    common = modes(df, cols, dtype="double")
+    probs = [0.25, 0.5, 0.75]
+    if accuracy is None and fits_buffer(df):
+        # one table of counted values gives both
+        per = value_counts(df, cols, dtype="double").groupBy("column")
+        order = per.agg(weighted_quantiles(probs).alias("q"), most_common().alias("mode"))
+    else:
+        common = modes(df, cols, dtype="double")
+        order = quantiles(df, cols, probs, accuracy=accuracy).join(F.broadcast(common), "column")
     q = [F.col("q")[i] for i in range(3)]
     return (
-        base.join(F.broadcast(quarts), "column", "left")
-        .join(F.broadcast(common), "column", "left")
+        base.join(F.broadcast(order), "column", "left")
         .select(
             "column",
             "count",
@@ -219,7 +225,7 @@ def describe_text(df: DataFrame) -> DataFrame:
     df = nan_to_null(df)
     cols = [c for c in scalar_columns(df) if c not in numeric_columns(df)]
     counts = value_counts(df, cols)
-    top = F.min_by(F.col("value"), F.struct(-F.col("count"), F.col("value")))
+    top = most_common()
     return counts.groupBy("column").agg(
         F.sum("count").alias("count"),
         F.count("*").alias("unique"),
@@ -434,7 +440,7 @@ def quick_insight(df: DataFrame, column: str) -> DataFrame:
             F.lit(column).alias("column"), finding.alias("finding"), text.alias("text")
         )
     counts = value_counts(df, ["x"])
-    top = F.min_by(F.col("value"), F.struct(-F.col("count"), F.col("value")))
+    top = most_common()
     row = counts.agg(
         F.count("*").alias("kinds"), top.alias("top"), share(F.max("count"), F.sum("count"), 100).alias("pct")
     )

@@ -44,8 +44,12 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = Fals
 def modes(df: DataFrame, cols: Sequence[str], dtype: str = "string") -> DataFrame:
     """(column, mode, mode_count): the most frequent value, the smallest on a tie."""
     counts = value_counts(df, cols, dtype=dtype)
-    best = F.min_by(F.col("value"), F.struct(-F.col("count"), F.col("value")))
-    return counts.groupBy("column").agg(best.alias("mode"), F.max("count").alias("mode_count"))
+    return counts.groupBy("column").agg(most_common().alias("mode"), F.max("count").alias("mode_count"))
+
+
+def most_common() -> Column:
+    """The value with the highest count in a counted group, the smallest on a tie."""
+    return F.min_by(F.col("value"), F.struct(-F.col("count"), F.col("value")))
 
 
 def _names(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -71,16 +75,35 @@ def spread(table: DataFrame, cols: Sequence[str], field: str, prefix: str) -> Da
     return table.agg(*[F.max(F.when(F.col("column") == c, F.col(field))).alias(f"{prefix}{i}") for i, c in enumerate(cols)])
 
 
+HEAD_ROWS = 256
+
+
 def first_values(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], samples: int) -> DataFrame:
     """(column, samples): the first non-null values in a stated, unique order, as text.
 
-    One scan per sample whatever the number of columns: each scan takes, for every
-    column, the smallest (order, value) beyond the one found before.
+    The first few hundred rows nearly always hold them. A column that is still short
+    is searched through the whole table.
     """
+    keys = [quoted(c) for c in order_by]
+    texts = [quoted(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)]
+    head = df.orderBy(*keys).select(*texts).limit(HEAD_ROWS).collect()
+    found = {c: [r[i] for r in head if r[i] is not None][:samples] for i, c in enumerate(cols)}
+    short = [c for c in cols if len(found[c]) < samples] if len(head) == HEAD_ROWS else []
+    rows = [(c, v) for c, v in found.items() if c not in short]
+    table = df.sparkSession.createDataFrame(rows, "column string, samples array<string>")
+    return table.unionByName(_search_first(df, short, order_by, samples)) if short else table
+
+
+def _search_first(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], samples: int) -> DataFrame:
+    """One scan per sample whatever the number of columns: each takes, for every column,
+    the smallest (order, value) beyond the one found before."""
     order = F.struct(*[quoted(c) for c in order_by])
     base = df.select(
-        order.alias("_k"), *[F.when(quoted(c).isNotNull(), F.struct(order.alias("k"), quoted(c).cast("string").alias("v"))).alias(f"_c{i}") for i, c in enumerate(cols)]
-    ).drop("_k")
+        *[
+            F.when(quoted(c).isNotNull(), F.struct(order.alias("k"), quoted(c).cast("string").alias("v"))).alias(f"_c{i}")
+            for i, c in enumerate(cols)
+        ]
+    )
     found = base.agg(*[F.min(f"_c{i}").alias(f"f0_{i}") for i in range(len(cols))])
     for j in range(1, samples):
         kept = [f"f{a}_{i}" for a in range(j) for i in range(len(cols))]

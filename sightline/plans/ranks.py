@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import nan_to_null, quoted
-from sightline.plans.longform import aggregate_rows
+from sightline.plans.longform import aggregate_rows, value_counts
 from sightline.plans.lookup import attach
 from sightline.plans.storage import materialise
 
@@ -116,12 +116,11 @@ def quantiles(
 
     ``accuracy`` switches to the sketch-based approximation.
     """
-    limit = EXACT_BUFFER_ROWS if buffer_rows is None else buffer_rows
     plist = [float(p) for p in probs]
     if accuracy is not None:
         return _direct(df, cols, keys, lambda c: F.percentile_approx(c, plist, accuracy))
-    if df.count() <= limit:
-        return _direct(df, cols, keys, lambda c: F.percentile(c, F.array(*[F.lit(p) for p in plist])))
+    if fits_buffer(df, buffer_rows):
+        return counted_quantiles(value_counts(df, cols, keys, "double"), plist, keys)
     return _selected(df, cols, plist, keys)
 
 
@@ -133,6 +132,19 @@ def _direct(df: DataFrame, cols: Sequence[str], keys: Sequence[str], fn) -> Data
     return df.groupBy(*[quoted(k) for k in keys]).agg(packed).select(*[quoted(k) for k in keys], F.inline("_rows"))
 
 
+def counted_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of a (keys..., column, value, count) table, each column merged in a task of its own."""
+    return counts.groupBy(*keys, "column").agg(weighted_quantiles(probs).alias("q"))
+
+
+def weighted_quantiles(probs: Sequence[float]):
+    return F.percentile(F.col("value"), F.array(*[F.lit(float(p)) for p in probs]), F.col("count"))
+
+
+def fits_buffer(df: DataFrame, buffer_rows: int | None = None) -> bool:
+    return df.count() <= (EXACT_BUFFER_ROWS if buffer_rows is None else buffer_rows)
+
+
 def _selected(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
     ranks = value_ranks(df, cols, keys)
     targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)])

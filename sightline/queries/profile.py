@@ -17,25 +17,25 @@ def _union(parts) -> str:
 
 def _describe_sql(tab: str, cols) -> str:
     return _union(
-        f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}::DOUBLE), 6) AS mean,
-        round(stddev_samp({c}::DOUBLE), 6) AS std, min({c})::DOUBLE AS "min",
-        round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q1, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median,
-        round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q3, max({c})::DOUBLE AS "max",
-        round(max({c})::DOUBLE - min({c})::DOUBLE, 6) AS "range",
-        round(quantile_cont({c}::DOUBLE, 0.75) - quantile_cont({c}::DOUBLE, 0.25), 6) AS iqr,
-        round(skewness({c}::DOUBLE), 6) AS skewness, round(kurtosis({c}::DOUBLE), 6) AS kurtosis,
+        f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}::DOUBLE), 4) AS mean,
+        round(stddev_samp({c}::DOUBLE), 4) AS std, min({c})::DOUBLE AS "min",
+        round(quantile_cont({c}::DOUBLE, 0.25), 4) AS q1, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS median,
+        round(quantile_cont({c}::DOUBLE, 0.75), 4) AS q3, max({c})::DOUBLE AS "max",
+        round(max({c})::DOUBLE - min({c})::DOUBLE, 4) AS "range",
+        round(quantile_cont({c}::DOUBLE, 0.75) - quantile_cont({c}::DOUBLE, 0.25), 4) AS iqr,
+        round(skewness({c}::DOUBLE), 4) AS skewness, round(kurtosis({c}::DOUBLE), 4) AS kurtosis,
         (SELECT {c} FROM {tab} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)::DOUBLE AS mode
         FROM {tab}"""
         for c in cols
     )
 
 
-@query("prf_describe", _describe_sql("lineitem", LINE_NUMBERS))
+@query("prf_describe", _describe_sql("lineitem", LINE_NUMBERS), places=4)
 def _(spark, sf):
     return profile.describe_numeric(table(spark, sf, "lineitem"))
 
 
-@query("prf_describe_nulls", _describe_sql("fx_nulls", ("l_quantity", "l_extendedprice")))
+@query("prf_describe_nulls", _describe_sql("fx_nulls", ("l_quantity", "l_extendedprice")), places=4)
 def _(spark, sf):
     return profile.describe_numeric(view(spark, sf, "fx_nulls").select("l_quantity", "l_extendedprice"))
 

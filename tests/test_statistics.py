@@ -26,9 +26,10 @@ def tau_b(x, y):
     return s / math.sqrt(nx * ny)
 
 
-@pytest.mark.parametrize("bucket", [3, 10, 10**6])
+@pytest.mark.parametrize("bucket", [8, 25, 10**6])
 def test_kendall_matches_brute_force(spark, bucket, monkeypatch):
-    monkeypatch.setattr(correlation, "PAIR_BUCKET_ROWS", bucket)
+    monkeypatch.setattr(correlation, "PAIR_BLOCK_ROWS", bucket)
+    monkeypatch.setattr(correlation, "CUTS", 3)
     rng = np.random.default_rng(2)
     x = np.where(rng.random(120) < 0.4, 3.0, rng.integers(0, 12, 120)).astype(float)
     y = (x + rng.integers(0, 9, 120)).astype(float)
