@@ -108,6 +108,13 @@ def table_info(df: DataFrame) -> DataFrame:
     )
 
 
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """Each row that occurs more than once, with how many times it repeats an earlier one."""
+    df = nan_to_null(df)
+    counted = df.groupBy(*[quoted(c) for c in df.columns]).agg((F.count("*") - 1).alias("repeats"))
+    return counted.where(F.col("repeats") > 0)
+
+
 def quality_score(df: DataFrame) -> DataFrame:
     """completeness, uniqueness and their mean, in percent."""
     info = table_info(df)

@@ -33,7 +33,23 @@ def _(spark, sf):
     return readiness.readiness_issues(view(spark, sf, "fx_text_labels"), "quality")
 
 
-@query("ml_feasibility")
+@query(
+    "ml_feasibility",
+    """WITH t AS (SELECT count(*) AS n FROM lineitem),
+    d AS (SELECT n - (SELECT count(*) FROM (SELECT DISTINCT l_linenumber, l_quantity, l_tax, l_returnflag FROM lineitem)) AS dups, n FROM t),
+    c AS (SELECT max(k)::DOUBLE / sum(k) AS top FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_returnflag)),
+    p AS (SELECT 100 - CASE WHEN n >= 1000 THEN 0 WHEN n >= 200 THEN 10 ELSE 25 END - CASE WHEN dups > 0 THEN 5 ELSE 0 END
+          - CASE WHEN top > 0.85 THEN 20 WHEN top > 0.7 THEN 10 ELSE 0 END AS score, n, top FROM d, c)
+    SELECT CASE WHEN score >= 75 THEN 'High' WHEN score >= 50 THEN 'Medium' ELSE 'Low' END AS feasibility, score::INT AS score, 'classification' AS problem_type,
+    CASE WHEN n >= 10000 THEN 'Excellent' WHEN n >= 1000 THEN 'Good' WHEN n >= 200 THEN 'Adequate' ELSE 'Insufficient' END AS data_sufficiency,
+    'Logistic Regression,Random Forest,XGBoost' AS recommended_models FROM p""",
+)
+def _(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_linenumber", "l_quantity", "l_tax", "l_returnflag")
+    return readiness.feasibility(li, "l_returnflag").drop("baseline_accuracy", "expected_range")
+
+
+@query("ml_feasibility_range")
 def _(spark, sf):
     return readiness.feasibility(view(spark, sf, "fx_text_labels"), "quality")
 

@@ -166,7 +166,12 @@ def _(spark, sf):
     return correlation.kendall_pair(table(spark, sf, "supplier"), "s_nationkey", "s_acctbal")
 
 
-@query("prf_kendall_events")
+@query(
+    "prf_kendall_events",
+    """WITH g AS (SELECT user_id AS x, value AS y FROM events),
+    s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, count(*) FILTER (a.x <> b.x) AS nx, count(*) FILTER (a.y <> b.y) AS ny FROM g a, g b)
+    SELECT round(s / sqrt(nx::DOUBLE * ny::DOUBLE), 6) AS r, (SELECT count(*) FROM g) AS n FROM s""",
+)
 def _(spark, sf):
     return correlation.kendall_pair(table(spark, sf, "events"), "user_id", "value")
 
@@ -270,9 +275,34 @@ def _(spark, sf):
     return profile.quality_score(view(spark, sf, "fx_nulls"))
 
 
-@query("prf_distribution")
+@query(
+    "prf_distribution",
+    """WITH s AS (SELECT count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd, stddev_pop(value) AS sp, skewness(value) AS sk, kurtosis(value) AS ku,
+    quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM events)
+    SELECT 'value' AS "column", any_value(n) AS n, round(any_value(m), 6) AS mean, round(any_value(q[3]), 6) AS median, round(any_value(sd), 6) AS std,
+    round(any_value(sk), 6) AS skewness, CASE WHEN abs(any_value(sk)) < 0.5 THEN 'approximately symmetric' WHEN any_value(sk) > 0.5 THEN 'right-skewed (positive)'
+    ELSE 'left-skewed (negative)' END AS skewness_label, round(any_value(ku), 6) AS kurtosis,
+    count(*) FILTER (value < q[2] - 1.5 * (q[4] - q[2]) OR value > q[4] + 1.5 * (q[4] - q[2])) AS iqr_outliers,
+    count(*) FILTER (abs(value - m) > 3 * sp) AS zscore_outliers, round(any_value(q[1]), 6) AS p5, round(any_value(q[2]), 6) AS p25,
+    round(any_value(q[4]), 6) AS p75, round(any_value(q[5]), 6) AS p95 FROM events, s""",
+)
+def _(spark, sf):
+    out = profile.distribution(table(spark, sf, "events"), "value")
+    return out.drop("normality_test", "normality_p", "normal", "transform_advice")
+
+
+@query("prf_distribution_normality")
+def _(spark, sf):
+    out = profile.distribution(table(spark, sf, "customer"), "c_acctbal")
+    return out.select("column", "normality_test", "normality_p", "normal", "transform_advice")
+
+
+@query(
+    "prf_duplicate_list",
+    """SELECT c_custkey, c_mktsegment, c_acctbal, count(*) - 1 AS repeats FROM fx_dups GROUP BY 1, 2, 3 HAVING count(*) > 1""",
+)
 def _(spark, sf):
-    return profile.distribution(table(spark, sf, "events"), "value")
+    return profile.repeated_rows(view(spark, sf, "fx_dups"))
 
 
 @query(

@@ -67,9 +67,20 @@ def _(spark, sf):
     return trust.trust_dimensions(mixed).where(F.col("dimension") == "consistency")
 
 
-@query("trust_score")
+@query(
+    "trust_score",
+    TRUST_CUSTOMER.split("SELECT unnest(")[0]
+    + """SELECT o AS overall, CASE WHEN o >= 0.82 THEN 'Reliable for ML' WHEN o >= 0.62 THEN 'Needs Cleaning' ELSE 'Unsafe for Modeling' END AS label,
+    CASE WHEN o >= 0.82 THEN 'reliable' WHEN o >= 0.62 THEN 'warning' ELSE 'danger' END AS status
+    FROM (SELECT round(0.3 * completeness + 0.25 * consistency + 0.2 * variance + 0.15 * balance + 0.1 * uniqueness, 6) AS o FROM s)""",
+)
+def _(spark, sf):
+    return trust.trust_score(table(spark, sf, "customer")).select("overall", "label", "status")
+
+
+@query("trust_summary")
 def _(spark, sf):
-    return trust.trust_score(table(spark, sf, "customer"))
+    return trust.trust_score(table(spark, sf, "customer")).select("status", "summary")
 
 
 @query(

@@ -279,11 +279,23 @@ def _(spark, sf):
     return ts_tests.decompose(view(spark, sf, "fx_daily"), "d", "v", 7, "multiplicative")
 
 
-@query("ts_trend_strength")
+@query(
+    "ts_trend_strength",
+    _decompose_sql("fx_daily", 7).split("SELECT x.d::TIMESTAMP")[0]
+    + """SELECT round(1 - var_samp(l - (m - level)) / var_samp(trend + l - (m - level)), 3) AS trend_strength
+    FROM x JOIN f ON x.ph = f.ph, g WHERE trend IS NOT NULL""",
+)
 def _(spark, sf):
     return ts_tests.trend_strength(ts_tests.decompose(view(spark, sf, "fx_daily"), "d", "v", 7))
 
 
-@query("ts_period_detect")
+@query(
+    "ts_period_detect",
+    """WITH s AS (SELECT v - (SELECT avg(v) FROM fx_order_days) AS d, row_number() OVER (ORDER BY d) - 1 AS t,
+    (SELECT count(*) FROM fx_order_days) AS n FROM fx_order_days),
+    f AS (SELECT unnest(generate_series(2, (SELECT count(*) // 2 FROM fx_order_days))) AS f),
+    m AS (SELECT f, any_value(n) AS n, sum(d * cos(2 * pi() * ((f * t) % n) / n)) ** 2 + sum(d * sin(2 * pi() * ((f * t) % n) / n)) ** 2 AS power FROM s, f GROUP BY f)
+    SELECT n, least(greatest(2, n // arg_max(f, power)), n // 3)::INT AS period FROM m GROUP BY n""",
+)
 def _(spark, sf):
     return ts_tests.detect_period(view(spark, sf, "fx_order_days"), "d", "v")
