@@ -252,10 +252,17 @@ def _(spark, sf):
     return profile.semantic_types(table(spark, sf, "events"))
 
 
+TEXT_KINDS = _union(
+    f"""SELECT '{c}' AS c, CASE WHEN count(DISTINCT {c}) / count(*) < 0.05 OR count(DISTINCT {c}) <= 20
+    THEN 'categorical' ELSE 'text' END AS kind FROM fx_types"""
+    for c in ("bool_text", "cust_text", "mixed_text", "pct_text", "price_text")
+)
+
+
 @query(
     "prf_type_groups",
-    """SELECT * FROM (VALUES ('datetime', 'date_text'), ('numeric', 'flag01,order_id'), ('text', 'cust_text,mixed_text,price_text'),
-    ('categorical', 'bool_text,pct_text')) AS t(kind, "columns")""",
+    f"""SELECT kind, string_agg(c, ',' ORDER BY c) AS "columns" FROM ({TEXT_KINDS}) GROUP BY kind
+    UNION ALL SELECT 'datetime', 'date_text' UNION ALL SELECT 'numeric', 'flag01,order_id'""",
 )
 def _(spark, sf):
     return profile.type_groups(view(spark, sf, "fx_types"))

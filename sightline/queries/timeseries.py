@@ -127,7 +127,7 @@ BINS = {
 def _resample_sql(tab, time, value, freq, agg) -> str:
     label, step = BINS[freq]
     expr = {
-        "mean": f"round(avg({value}), 4)",
+        "mean": f"round(avg({value}), 8)",
         "sum": f"round(sum({value}), 2)",
         "count": f"count({value})",
         "first": f"round(min_by({value}, (ts, k)), 4)",
@@ -143,7 +143,7 @@ def _resample_sql(tab, time, value, freq, agg) -> str:
     SELECT s.bin AS ts, {default} AS value FROM s LEFT JOIN b ON s.bin = b.bin"""
 
 
-@query("ts_resample_day", _resample_sql("events", "ts", "value", "D", "mean"), places=4)
+@query("ts_resample_day", _resample_sql("events", "ts", "value", "D", "mean"), places=8)
 def _(spark, sf):
     return ts.resample(table(spark, sf, "events"), "ts", "value", "D", "mean")
 
