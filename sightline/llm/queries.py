@@ -6,7 +6,7 @@ import importlib
 
 from sightline.llm.registry import ORACLES, QUERIES
 
-OPERATORS = ("exact_dedup", "simhash", "bpe", "token_files", "quality", "line_dedup", "decontaminate")
+OPERATORS = ("exact_dedup", "simhash", "bpe", "token_files", "quality", "line_dedup", "decontaminate", "secrets")
 
 
 def load() -> tuple[dict, dict]:
