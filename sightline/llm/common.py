@@ -53,7 +53,7 @@ def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], fields: Seque
     side = [F.col(k).alias(names[k]) for k in keys]
     hot = F.broadcast(facts.where(hot_rows).select(*side, F.struct(*fields).alias("_hot")))
     # a plain literal would be folded into the join condition and leave the salt out of the shuffle's keys
-    zero = F.when(F.col(weight).isNotNull(), F.lit(0)).otherwise(F.lit(-1)).cast("bigint")
+    zero = F.when(F.col(weight) >= 0, F.lit(0)).otherwise(F.lit(-1)).cast("bigint")
     cold = facts.where(~hot_rows).select(*side, F.struct(*fields).alias("_cold"), zero.alias("_at"))
     same = lambda: [F.col(k) == F.col(names[k]) for k in keys]
     first = rows.join(hot, same(), "left").drop(*names.values())

@@ -57,7 +57,7 @@ def majority(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int, width: int = 1) -> DataFrame:
-    """(doc_id, f0 ... of 64 bits each) of every row; texts without a word have zero."""
+    """(doc_id, row, f0 ... of 64 bits each) of every row; row is a hash of the text, texts without a word have fingerprint zero."""
 
     def batch(rows: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros((len(rows), width), np.uint64)
@@ -66,9 +66,9 @@ def fingerprints(docs: DataFrame, words: int, width: int = 1) -> DataFrame:
             for w in range(width):
                 h = mixed(h) if w else h
                 out[i, w] = majority(h)
-        return pd.DataFrame({"doc_id": rows["doc_id"].array} | {f"f{w}": out[:, w].view(np.int64) for w in range(width)})
+        return pd.DataFrame({"doc_id": rows["doc_id"].array, "row": rows["row"].array} | {f"f{w}": out[:, w].view(np.int64) for w in range(width)})
 
-    return map_batches(texts(docs), batch, "doc_id bigint, " + ", ".join(f"f{w} bigint" for w in range(width)))
+    return map_batches(texts(docs).withColumn("row", F.xxhash64("text")), batch, "doc_id bigint, row bigint, " + ", ".join(f"f{w} bigint" for w in range(width)))
 
 
 # ---------------------------------------------------------------- trees
@@ -205,12 +205,12 @@ def links(points: DataFrame, masks: Sequence[tuple[int, ...]], radius: int, tree
 
 
 def near_groups(prints: DataFrame, masks: Sequence[tuple[int, ...]], radius: int) -> DataFrame:
-    """``prints`` (doc_id, f0 ...) with component_id, the smallest doc_id that links within ``radius`` lead to.
+    """``prints`` (doc_id, row, f0 ...) with component_id, the smallest doc_id that links within ``radius`` lead to.
 
     Equal fingerprints are one point, so copies are counted, never paired. Rows without a
     doc_id take part and get the smallest id that is there, or null if there is none.
     """
-    fs = [c for c in prints.columns if c != "doc_id"]
+    fs = [c for c in prints.columns if c not in ("doc_id", "row")]
     prints = materialise(prints)
     total = prints.count()
     node = F.col(fs[0]) if len(fs) == 1 else F.xxhash64(*fs)
@@ -225,7 +225,7 @@ def near_groups(prints: DataFrame, masks: Sequence[tuple[int, ...]], radius: int
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 2, bits: int = 16, tables: int = 40) -> DataFrame:
-    """(doc_id, component_id) of documents whose SimHashes agree in a share ``similarity`` of their bits or more.
+    """(doc_id, row, component_id) of documents whose SimHashes agree in a share ``similarity`` of their bits or more.
 
     Shingles have ``words`` words, repeats count. Fingerprints have 64 x ``width`` bits; two of them
     meet if they agree under one of ``tables`` samples of ``bits`` bits. With the defaults, texts
@@ -235,7 +235,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     """
     prints = fingerprints(docs, words, width)
     groups = near_groups(prints, bit_samples(width, bits, tables), int(64 * width * (1 - similarity) + 1e-9))
-    return groups.select("doc_id", "component_id")
+    return groups.select("doc_id", "row", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 2, bits: int = 16, tables: int = 40) -> DataFrame:
+    """``docs`` with one document of each group, that of the smallest doc_id; texts without a word are no group and stay.
+
+    Rows repeated with one doc_id and text are one document. Rows without a doc_id go if their group
+    has a row with one, and stay otherwise.
+    """
+    text = F.coalesce("text", F.lit(""))
+    groups = near_duplicates(docs.where(F.length(F.trim(text, F.lit(" \t\r\n\x0b\x0c"))) > 0), words, similarity, width, bits, tables)
+    gone = groups.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id")))
+    gone = gone.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_r")), "left_anti")
 
 
 @query("op2_simhash")

@@ -133,6 +133,7 @@ class WordEncoder:
     """
 
     WORDS, PIECES = 400_000, 800_000
+    MARK = b"\xff\xff\xff\xff"  # no id looks like it
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,32 +148,41 @@ class WordEncoder:
         if not (lowers and before["type"] == "Split" and before["invert"] and before["behavior"] == "Removed"):
             raise ValueError("a tokenizer is needed that lower-cases, drops white space and splits by a pattern")
         self.special = [t["content"] for t in told["added_tokens"]]
-        self.cut = regex.compile(before["pattern"]["Regex"])
+        self.cut = regex.compile(before["pattern"]["Regex"] + r"|\n")
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"\n": self.MARK}
 
     def library(self, pieces: list[str]) -> list[bytes]:
+        """The library's ids of each piece."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def learn(self, new: set[str]) -> None:
+        plain = [w for w in new if w.isascii()]
+        other = [w for w in new if not w.isascii()]
+        for special in self.special:
+            if any(special in w for w in plain):
+                other += [w for w in plain if special in w]
+                plain = [w for w in plain if special not in w]
+        self.words.update(zip(other, self.library(other)))
+        if plain:
+            found = self.cut.findall("\n".join(plain).lower())
+            fresh = [*(set(found) - self.pieces.keys())]
+            self.pieces.update(zip(fresh, self.library(fresh)))
+            self.words.update(zip(plain, b"".join(map(self.pieces.__getitem__, found)).split(self.MARK)))
+
     def encode(self, batch: list[str], end: int) -> list[bytes]:
         """Ids of each text, with ``end`` after the last, as little-endian 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in batch]
         new = set().union(*split) - self.words.keys()
         if new:
-            cuts = {}
-            for w in new:
-                plain = w.isascii() and not any(x in w for x in self.special)
-                cuts[w] = self.cut.findall(w.lower()) if plain else [w]
-            fresh = [*({p for c in cuts.values() for p in c} - self.pieces.keys())]
-            self.pieces.update(zip(fresh, self.library(fresh)))
-            self.words.update((w, b"".join([self.pieces[p] for p in c])) for w, c in cuts.items())
+            self.learn(new)
         found, last = self.words.__getitem__, np.array([end], "<u4").tobytes()
         out = [b"".join(map(found, s)) + last for s in split]
         if len(self.pieces) > self.PIECES:
-            self.pieces.clear()
+            self.pieces = {"\n": self.MARK}
         if len(self.words) > self.WORDS:
-            self.words.clear()
+            self.words = {"": b""}
         return out
 
 
