@@ -34,7 +34,7 @@ CODES = [np.uint64(xxhash.xxh64_intdigest(m, 1)) for m in MARKS]
 
 
 def token(raw: str) -> tuple[int, str, int, bool]:
-    """(hash, core, kind, ends a sentence) of a raw word; NAME is a capitalised word, a name unless it starts a sentence."""
+    """(hash, core, kind, ends a sentence) of a raw word; NAME is a capitalised word; whether it is a name depends on its place."""
     core = EDGES.sub("", raw)
     ends = raw[-1:] in ".!?:" or raw.rstrip("\"')")[-1:] in ".!?"
     low = core.lower()
@@ -76,12 +76,16 @@ class Templates:
         if len(flat):
             starts[1:] = np.array([t[3] for t in table])[flat]
         starts[line_starts] = True
-        kinds = np.where((kinds == NAME) & starts[: len(flat)], WORD, kinds)
         doc = np.repeat(np.arange(len(batch)), sizes)
+        words = np.array([t[0] for t in table], np.uint64)[flat] if len(flat) else np.empty(0, np.uint64)
+        # a capital at the start of a sentence makes a name only of a word that is a name elsewhere in the text
+        first = (kinds == NAME) & starts[: len(flat)]
+        with np.errstate(over="ignore"):
+            own = words + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        kinds[first] = np.where(np.isin(own[first], own[(kinds == NAME) & ~first]), NAME, WORD)
         use = kinds != NONE
         self.table, self.flat, self.kinds, self.doc = table, flat[use], kinds[use], doc[use]
-        words = np.array([t[0] for t in table], np.uint64)[self.flat] if len(flat) else np.empty(0, np.uint64)
-        self.hashes = np.where(self.kinds == WORD, words, np.array(CODES, np.uint64)[self.kinds])
+        self.hashes = np.where(self.kinds == WORD, words[use], np.array(CODES, np.uint64)[self.kinds])
         self.lengths = np.bincount(self.doc, minlength=len(batch))
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.bpe import shared_vocabulary
+from sightline.llm.bpe import byte_letters, shared_vocabulary
 from sightline.llm.common import documents, map_batches, partitions, texts
 from sightline.llm.registry import query
 from sightline.plans.storage import scratch_path
@@ -24,10 +26,10 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 #: Coders side by side in a block, and steps between two checkpoints.
-LANES = 512
+LANES = 2048
 STEPS = 256
 #: Ids after which a block is closed; a document is never cut, so one longer document is a block of its own.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 MAGIC = b"RTB1"
 
 
@@ -125,14 +127,17 @@ def decode_block(block: bytes, tables: Tables) -> np.ndarray:
 
 
 class WordEncoder:
-    """The tokenizers library on distinct pieces of text.
+    """The tokenizers library, run once for each distinct word.
 
     A tokenizer whose normalizer and pre-tokenizer never join or look across white space gives a
-    text the ids of its words one after the other, so each distinct word needs the library once.
-    An ASCII word is cut once more, where the pre-tokenizer cuts it, after the lower-casing it would get.
+    text the ids of its words one after the other. Words of plain Latin letters, digits and
+    signs, which the normalizer only lower-cases, are cut by the pre-tokenizer's pattern, and each
+    piece not met before goes to the library's model; all other words go through the whole library.
     """
 
     WORDS, PIECES = 400_000, 800_000
+    #: Letters that are their own normal form and have the same lower case everywhere.
+    PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
     MARK = b"\xff\xff\xff\xff"  # no id looks like it
 
     def __init__(self, spec: str):
@@ -143,32 +148,37 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         told = json.loads(spec)
-        before = told["pre_tokenizer"]["pretokenizers"][0]
-        lowers = any(n["type"] == "Lowercase" for n in told["normalizer"]["normalizers"])
-        if not (lowers and before["type"] == "Split" and before["invert"] and before["behavior"] == "Removed"):
-            raise ValueError("a tokenizer is needed that lower-cases, drops white space and splits by a pattern")
+        normal = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
+        before = told["pre_tokenizer"].get("pretokenizers", [])
+        if normal != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in before] != ["Split", "ByteLevel"] or not before[0]["invert"] or before[0]["behavior"] != "Removed":
+            raise ValueError("a tokenizer is needed that lower-cases, drops white space, splits by a pattern and is byte-level")
         self.special = [t["content"] for t in told["added_tokens"]]
-        self.cut = regex.compile(before["pattern"]["Regex"] + r"|\n")
+        self.cut = regex.compile(before[0]["pattern"]["Regex"] + r"|\n")
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.model = self.tokenizer.model
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {"\n": self.MARK}
 
-    def library(self, pieces: list[str]) -> list[bytes]:
-        """The library's ids of each piece."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def learn(self, new: set[str]) -> None:
-        plain = [w for w in new if w.isascii()]
-        other = [w for w in new if not w.isascii()]
+        plain, fits = [], self.PLAIN.fullmatch
+        odd = [w for w in new if not fits(w)]
+        plain = [w for w in new if fits(w)] if odd else [*new]
         for special in self.special:
             if any(special in w for w in plain):
-                other += [w for w in plain if special in w]
+                odd += [w for w in plain if special in w]
                 plain = [w for w in plain if special not in w]
-        self.words.update(zip(other, self.library(other)))
+        self.words.update(zip(odd, self.whole(odd)))
         if plain:
             found = self.cut.findall("\n".join(plain).lower())
-            fresh = [*(set(found) - self.pieces.keys())]
-            self.pieces.update(zip(fresh, self.library(fresh)))
+            self.pieces.update((p, self.piece(p)) for p in set(found) - self.pieces.keys())
             self.words.update(zip(plain, b"".join(map(self.pieces.__getitem__, found)).split(self.MARK)))
 
     def encode(self, batch: list[str], end: int) -> list[bytes]:
@@ -208,26 +218,38 @@ def tables_of(counts: bytes) -> Tables:
 # ---------------------------------------------------------------- jobs
 
 
-def id_counts(docs: DataFrame, path: str, end: int) -> np.ndarray:
-    """How often each id occurs in all documents; the driver gets a row for each id of the vocabulary."""
+def packed(ids: bytes, wide: bool) -> bytes:
+    return ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+
+
+def encode_documents(docs: DataFrame, path: str, folder: str, end: int) -> DataFrame:
+    """Write (doc_id, tie, ids) of every document to ``folder`` and read it back: ids as 16-bit integers where the vocabulary allows."""
     text, key = shared_vocabulary(docs.sparkSession, path)
 
+    def batch(rows: pd.DataFrame) -> pd.DataFrame:
+        words, out = encoder(key, text.value), []
+        for at in range(0, len(rows), 256):
+            out += [packed(x, words.size > 1 << 16) for x in words.encode(rows["text"].iloc[at : at + 256].tolist(), end)]
+        return pd.DataFrame({"doc_id": rows["doc_id"].array, "tie": rows["tie"].array, "ids": out})
+
+    rows = map_batches(texts(docs).withColumn("tie", F.xxhash64("text")), batch, "doc_id bigint, tie bigint, ids binary")
+    rows.write.option("compression", "zstd").parquet(f"{folder}/ids")
+    return docs.sparkSession.read.parquet(f"{folder}/ids")
+
+
+def id_counts(encoded: DataFrame, size: int, wide: bool) -> np.ndarray:
+    """How often each id occurs in all documents; the driver gets a row for each id of the vocabulary."""
+
     def count(batches):
-        total = None
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            words = encoder(key, text.value)
-            total = np.zeros(words.size, np.int64) if total is None else total
             for at in range(0, len(batch), 256):
-                total += np.bincount(np.frombuffer(b"".join(words.encode(batch["text"].iloc[at : at + 256].tolist(), end)), "<u4"), minlength=words.size)
-        if total is not None:
-            seen = np.flatnonzero(total)
-            yield pd.DataFrame({"id": seen, "n": total[seen]})
+                total += np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[at : at + 256]), "<u4" if wide else "<u2"), minlength=size)
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"id": seen, "n": total[seen]})
 
-    found = texts(docs).mapInPandas(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    from tokenizers import Tokenizer
-
-    out = np.zeros(max(Tokenizer.from_str(text.value).get_vocab_size(), end + 1), np.int64)
-    for r in found:
+    out = np.zeros(size, np.int64)
+    for r in encoded.select("ids").mapInPandas(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -239,13 +261,16 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 2) -> None:
     each block: the part and its number there, ids before it in the part, doc_ids and id
     counts of its documents, the coded ids. Parts are ranges of doc_id (nulls first), so no
     task sees more than its range, and a task that is run again writes the same blocks.
+    ``folder``/ids is what the counting and the coding both read.
     """
     spark = docs.sparkSession
-    docs = texts(docs)
-    counts = id_counts(docs, path, end)
-    spark.createDataFrame([(SCALE, end, counts.astype("<i8").tobytes())], "scale int, end_id int, counts binary").coalesce(1).write.parquet(f"{folder}/tables")
-    text, key = shared_vocabulary(spark, path)
-    shared = spark.sparkContext.broadcast(counts.astype("<i8").tobytes())
+    with open(path, encoding="utf-8") as file:
+        size = max(WordEncoder(file.read()).size, end + 1)
+    wide = size > 1 << 16
+    encoded = encode_documents(docs, path, folder, end)
+    counts = id_counts(encoded, size, wide).astype("<i8").tobytes()
+    spark.createDataFrame([(SCALE, end, counts)], "scale int, end_id int, counts binary").coalesce(1).write.parquet(f"{folder}/tables")
+    shared = spark.sparkContext.broadcast(counts)
 
     def blocks(batches):
         part, number, before = TaskContext.get().partitionId(), 0, 0
@@ -253,34 +278,32 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 2) -> None:
 
         def close():
             nonlocal number, before, held_ids, held, waiting
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.frombuffer(b"".join(held), "<u4" if wide else "<u2")
             row = {
                 "part": part,
                 "block": number,
                 "before": before,
                 "n_ids": len(ids),
                 "doc_ids": [None if pd.isna(i) else int(i) for i in held_ids],
-                "lengths": [len(h) // 4 for h in held],
+                "lengths": [len(h) // (4 if wide else 2) for h in held],
                 "coded": encode_block(ids, tables_of(shared.value)),
             }
             number, before, held_ids, held, waiting = number + 1, before + len(ids), [], [], 0
             return pd.DataFrame([row])
 
         for batch in batches:
-            words = encoder(key, text.value)
-            for at in range(0, len(batch), 256):
-                piece = batch.iloc[at : at + 256]
-                for doc_id, ids in zip(piece["doc_id"].tolist(), words.encode(piece["text"].tolist(), end)):
-                    held_ids.append(doc_id)
-                    held.append(ids)
-                    waiting += len(ids) // 4
-                    if waiting >= BLOCK:
-                        yield close()
+            for doc_id, ids in zip(batch["doc_id"].tolist(), batch["ids"].tolist()):
+                held_ids.append(doc_id)
+                held.append(ids)
+                waiting += len(ids) // (4 if wide else 2)
+                if waiting >= BLOCK:
+                    yield close()
         if held:
             yield close()
 
     schema = "part int, block int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<int>, coded binary"
-    ordered = docs.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = encoded.repartitionByRange(partitions(spark), order).sortWithinPartitions(order, "tie")
     ordered.mapInPandas(blocks, schema).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
