@@ -105,7 +105,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
     if not floats:
         return df
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+    return df.withColumns({c: F.when(~F.isnan(quoted(c)), quoted(c)) for c in floats})
 
 
 def quoted(name: str) -> Column:

@@ -105,20 +105,14 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 def _sample_per_tree(z: DataFrame, names: Sequence[str], key: Sequence[str], rows: int, trees: int, size: int, seed: int) -> DataFrame:
-    """About ``size`` rows for every tree, chosen by a seeded hash of key and tree number.
-
-    In a small table every tree tests every row. In a large one a row is drawn first
-    and then given to one tree, so only about trees x size rows leave the scan.
-    """
+    """About ``size`` rows for every tree: each row is drawn for each tree by a seeded hash, at every table size."""
     share = min(1.0, size / max(rows, 1))
-    if share >= 0.02:
-        tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-        picked = z.select(*[quoted(k) for k in key], *names, tree.alias("tree"))
-        mark = F.pmod(F.xxhash64(*[quoted(k) for k in key], "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        return picked.where(mark < share).select("tree", *names)
-    draw = F.pmod(F.xxhash64(*[quoted(k) for k in key], F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    which = F.pmod(F.xxhash64(*[quoted(k) for k in key], F.lit(seed + 1)), F.lit(trees)).cast("int")
-    return z.where(draw < min(1.0, share * trees)).select(which.alias("tree"), *names)
+    id_columns = [quoted(k) for k in key]
+    chosen = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.pmod(F.xxhash64(*id_columns, t, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40) < share,
+    )
+    return z.select(*names, F.explode(chosen).alias("tree")).select("tree", *names)
 
 
 def isolation_scores(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +19,8 @@ from sightline.operators.anomaly import standardised
 from sightline.plans.longform import melt
 from sightline.plans.storage import materialise
 
-# The exact Euclidean silhouette compares all rows; it is offered up to this many.
-EXACT_SILHOUETTE_ROWS = 20_000
+#: Distinct points of one block of the silhouette; a task holds two blocks.
+SILHOUETTE_BLOCK = 4_000
 
 
 @dataclass(frozen=True)
@@ -52,9 +52,7 @@ def run_kmeans(df: DataFrame, key: Sequence[str], clusters: int = 3, columns: Se
     squared = 0.0
     if sum(1 for s in model.summary.clusterSizes if s) > 1:
         squared = ClusteringEvaluator(predictionCol="cluster", distanceMeasure="squaredEuclidean").evaluate(placed)
-    exact = None
-    if rows <= EXACT_SILHOUETTE_ROWS and kinds > 1:
-        exact = euclidean_silhouette(placed.select("features", "cluster"))
+    exact = euclidean_silhouette(placed.select("features", "cluster")) if kinds > 1 else None
     summary = spark.createDataFrame(
         [(rows, clusters, float(model.summary.trainingCost), float(squared), exact)],
         "n bigint, n_clusters int, inertia double, silhouette_squared double, silhouette double",
@@ -67,33 +65,59 @@ def run_kmeans(df: DataFrame, key: Sequence[str], clusters: int = 3, columns: Se
     )
 
 
-def euclidean_silhouette(placed: DataFrame) -> float:
-    """Mean silhouette by plain distances; the points are broadcast, so their number is checked first."""
-    points = placed.select(vector_to_array("features").alias("v"), "cluster")
-    if points.count() > EXACT_SILHOUETTE_ROWS:
-        raise ValueError(f"exact silhouette is limited to {EXACT_SILHOUETTE_ROWS} rows")
-    local = points.toPandas()
-    spots, marks = np.vstack(local["v"].to_numpy()), local["cluster"].to_numpy()
-    shared = placed.sparkSession.sparkContext.broadcast((spots, marks))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_spots, all_marks = shared.value
-        kinds = np.unique(all_marks)
-        members = {k: all_spots[all_marks == k] for k in kinds}
-        for batch in batches:
-            total, n = 0.0, 0
-            for v, own in zip(batch["v"], batch["cluster"]):
-                n += 1
-                if len(members[own]) == 1:
-                    continue
-                mean = {k: np.sqrt(((m - v) ** 2).sum(1)).sum() / (len(m) - (k == own)) for k, m in members.items()}
-                a = mean.pop(own)
-                b = min(mean.values())
-                total += (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-            yield pd.DataFrame({"s": [total], "n": [n]})
-
-    row = points.mapInPandas(score, "s double, n bigint").agg(F.sum("s"), F.sum("n")).first()
-    return float(row[0] / row[1])
+def euclidean_silhouette(placed: DataFrame, block: int = SILHOUETTE_BLOCK) -> float:
+    """Mean silhouette by plain distances, exact at every size.
+
+    Equal points of a cluster are one point with a weight. The points are dealt into blocks, each
+    pair of blocks is one task's work, and only a distance sum for each point and cluster leaves it: the
+    work is quadratic, as the definition is, but nothing is gathered in one place.
+    """
+    points = placed.groupBy(vector_to_array("features").alias("v"), "cluster").agg(F.count("*").alias("w"))
+    points = materialise(points.withColumn("p", F.xxhash64("v", "cluster")).withColumn("q", F.xxhash64(F.lit(1), "v", "cluster")))
+    blocks = max(1, -(-points.count() // block))
+    dealt = points.withColumn("block", F.pmod(F.xxhash64("p", F.lit(2)), F.lit(blocks)).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = dealt.select("p", "q", "v", F.col("block").alias("i"), others.alias("j"))
+    spots = dealt.select("cluster", "w", "v", F.col("block").alias("j"), others.alias("i"))
+
+    def sums(ask: pd.DataFrame, spot: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"p": [], "q": [], "other": [], "total": []})
+        if not len(ask) or not len(spot):
+            return empty
+        x, y = np.vstack(ask["v"].to_numpy()), np.vstack(spot["v"].to_numpy())
+        kinds, column = np.unique(spot["cluster"].to_numpy(), return_inverse=True)
+        weights = np.zeros((len(y), len(kinds)))
+        weights[np.arange(len(y)), column] = spot["w"].to_numpy()
+        out = []
+        for at in range(0, len(x), 256):
+            out.append(distances(x[at : at + 256], y) @ weights)
+        total = np.vstack(out)
+        n = len(kinds)
+        return pd.DataFrame({"p": np.repeat(ask["p"].to_numpy(), n), "q": np.repeat(ask["q"].to_numpy(), n), "other": np.tile(kinds, len(x)), "total": total.ravel()})
+
+    found = asks.groupBy("i", "j").cogroup(spots.groupBy("i", "j")).applyInPandas(sums, "p bigint, q bigint, other int, total double")
+    found = found.groupBy("p", "q", "other").agg(F.sum("total").alias("total"))
+    sizes = F.broadcast(points.groupBy(F.col("cluster").alias("other")).agg(F.sum("w").alias("size")))  # a row for each cluster
+    own = points.select("p", "q", "cluster", "w")
+    rows = found.join(sizes, "other").join(own, ["p", "q"])
+    mine = F.col("other") == F.col("cluster")
+    per = rows.groupBy("p", "q", "w").agg(
+        F.max(F.when(mine, F.col("size"))).alias("members"),
+        F.max(F.when(mine, F.col("total") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("a"),
+        F.min(F.when(~mine, F.col("total") / F.col("size"))).alias("b"),
+    )
+    top = F.greatest("a", "b")
+    score = F.when((F.col("members") > 1) & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    row = per.agg(F.sum(score * F.col("w")).alias("s"), F.sum("w").alias("n")).first()
+    return float(row["s"] / row["n"])
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Plain distances of all rows of x and y, a column at a time, so that memory stays at their number."""
+    out = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        out += (x[:, k, None] - y[None, :, k]) ** 2
+    return np.sqrt(out)
 
 
 # ---------------------------------------------------------------- profiles
@@ -146,8 +170,8 @@ def distinguishing_features(profile: DataFrame, top: int = 10) -> DataFrame:
 
 
 def profile_categorical(df: DataFrame, cluster: str, columns: Sequence[str] | None = None, top: int = 3) -> DataFrame:
-    """(cluster, column, place, value, percentage): the most common values of the first five text columns."""
-    cols = list(columns) if columns is not None else [c for c in text_columns(df) if c != cluster][:5]
+    """(cluster, column, place, value, percentage): the most common values of each text column, or of ``columns``."""
+    cols = list(columns) if columns is not None else [c for c in text_columns(df) if c != cluster]
     if not cols:
         kind = df.schema[cluster].dataType.simpleString()
         return df.sparkSession.createDataFrame([], f"cluster {kind}, column string, place int, value string, percentage double")
@@ -162,9 +186,9 @@ def profile_categorical(df: DataFrame, cluster: str, columns: Sequence[str] | No
 
 
 def radar(profile: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(cluster, feature, level): z brought to 0..1 for the first eight features."""
+    """(cluster, feature, level): z brought to 0..1 for the features given."""
     level = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("z_score") + 3) / 6))
-    return profile.where(F.col("feature").isin(list(features)[:8])).select("cluster", "feature", level.alias("level"))
+    return profile.where(F.col("feature").isin(list(features))).select("cluster", "feature", level.alias("level"))
 
 
 def personas(profile: DataFrame, categorical: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +36,10 @@ from sightline.plans.longform import (
     distinct_counts,
     duplicate_rows,
     first_values,
-    modes,
     most_common,
     value_counts,
 )
-from sightline.plans.ranks import fits_buffer, quantiles, weighted_quantiles
+from sightline.plans.ranks import quantiles, selected_quantiles, value_ranks
 
 CATEGORY_LIMIT = 20
 CATEGORY_RATIO = 0.05
@@ -198,13 +199,11 @@ def describe_numeric(df: DataFrame, accuracy: int | None = None) -> DataFrame:
         ],
     )
     probs = [0.25, 0.5, 0.75]
-    if accuracy is None and fits_buffer(df):
-        # one table of counted values gives both
-        per = value_counts(df, cols, dtype="double").groupBy("column")
-        order = per.agg(weighted_quantiles(probs).alias("q"), most_common().alias("mode"))
-    else:
-        common = modes(df, cols, dtype="double")
-        order = quantiles(df, cols, probs, accuracy=accuracy).join(F.broadcast(common), "column")
+    # one table of ranked values gives both
+    ranks = value_ranks(df, cols)
+    common = F.broadcast(ranks.groupBy("column").agg(most_common().alias("mode")))
+    picked = selected_quantiles(ranks, probs) if accuracy is None else quantiles(df, cols, probs, accuracy=accuracy)
+    order = picked.join(common, "column")
     q = [F.col("q")[i] for i in range(3)]
     return (
         base.join(F.broadcast(order), "column", "left")
@@ -461,38 +460,47 @@ def quick_insight(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _describe_rules(name: str, dtype) -> Column:
-    """A short description from a column's name, type and cardinality."""
-    words = name.lower().replace("_", " ").replace("-", " ")
-    kinds = F.col("distinct_count")
+@dataclass(frozen=True)
+class Role:
+    """A column's likely role: for which kind, up to how many distinct values, with which words in its name."""
+
+    kind: str
+    text: str
+    most: int | None = None
+    words: tuple[str, ...] = ()
+
+
+# fixed values: the limits and words that decide a column's role; the first that fits counts
+ROLES = (
+    Role("datetime", "point in time"),
+    Role("numeric", "flag with two values", most=2),
+    Role("numeric", "code or rank, {kinds} values", most=10),
+    Role("numeric", "row identifier", words=("id", "key")),
+    Role("numeric", "age", words=("age",)),
+    Role("numeric", "money", words=("price", "cost", "amount")),
+    Role("numeric", "score", words=("score", "grade", "rating")),
+    Role("numeric", "share or rate", words=("pct", "percent", "rate")),
+    Role("numeric", "measure from {low} to {high}"),
+    Role("text", "flag with two values", most=2),
+    Role("text", "category, {kinds} values", most=20),
+    Role("text", "name", words=("name",)),
+    Role("text", "e-mail address", words=("email",)),
+    Role("text", "place", words=("address", "city", "country")),
+    Role("text", "time kept as text", words=("date", "time")),
+    Role("text", "free text, {kinds} values"),
+)
 
-    def has(*parts: str) -> Column:
-        return F.lit(any(p in words for p in parts))
 
-    if is_datetime(dtype):
-        return F.lit("Date/time values")
-    if is_numeric(dtype):
-        return (
-            F.when(kinds <= 2, "Binary indicator (0/1)")
-            .when(kinds <= 10, F.format_string("Ordinal or categorical code (%d levels)", kinds))
-            .when(has("id", "key"), "Unique identifier")
-            .when(has("age"), "Age value")
-            .when(has("price", "cost", "amount"), "Monetary value")
-            .when(has("score", "grade", "rating"), "Score or rating")
-            .when(has("pct", "percent", "rate"), "Percentage or rate")
-            .otherwise(F.format_string("Numeric measure (range: %.2f to %.2f)", "low", "high"))
-        )
-    if is_text(dtype):
-        return (
-            F.when(kinds <= 2, "Binary category")
-            .when(kinds <= 20, F.format_string("Categorical (%d categories)", kinds))
-            .when(has("name"), "Name field")
-            .when(has("email"), "Email address")
-            .when(has("address", "city", "country"), "Geographic/location field")
-            .when(has("date", "time"), "Date/time stored as text")
-            .otherwise(F.format_string("Text field (%d unique values)", kinds))
-        )
-    return F.lit("")
+def role_text(name: str, dtype) -> Column:
+    """The text of the first role that fits a column; counts and ends are those of its row."""
+    kind = "datetime" if is_datetime(dtype) else "numeric" if is_numeric(dtype) else "text" if is_text(dtype) else ""
+    spoken = name.lower().replace("_", " ").replace("-", " ")
+    filled = {"kinds": F.col("distinct_count").cast("string"), "low": F.format_string("%.2f", "low"), "high": F.format_string("%.2f", "high")}
+    out = F.lit("")
+    for role in reversed([r for r in ROLES if r.kind == kind and (not r.words or any(w in spoken for w in r.words))]):
+        pieces = [filled[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"({\w+})", role.text) if x]
+        out = F.when(F.lit(True) if role.most is None else F.col("distinct_count") <= role.most, F.concat(*pieces)).otherwise(out)
+    return out
 
 
 def data_dictionary(df: DataFrame, order_by: Sequence[str], samples: int = 3) -> DataFrame:
@@ -519,7 +527,7 @@ def data_dictionary(df: DataFrame, order_by: Sequence[str], samples: int = 3) ->
     shown = first_values(df, cols, order_by, samples).select("column", F.array_join("samples", ", ").alias("samples"))
     rule = F.lit("")
     for c in cols:
-        rule = F.when(F.col("column") == c, _describe_rules(c, df.schema[c].dataType)).otherwise(rule)
+        rule = F.when(F.col("column") == c, role_text(c, df.schema[c].dataType)).otherwise(rule)
     return base.join(F.broadcast(shown), "column", "left").select(
         "column", "data_type", "non_null", "distinct_count", "missing_pct", "samples", rule.alias("description")
     )
@@ -546,7 +554,7 @@ def dataset_context(df: DataFrame, order_by: Sequence[str], max_rows: int = 5) -
             F.bround(F.max(quoted(c)).cast("double"), 3).alias("max"),
             count_if(quoted(c).isNull()).alias("nulls"),
         ).alias(c)
-        for c in numeric[:10]
+        for c in numeric
     ]
     parts = [shape.alias("shape"), nulls.alias("null_counts")]
     if stats:

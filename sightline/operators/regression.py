@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from sightline.functions import tails
 from sightline.functions.columns import is_text, nan_to_null, quoted, require
-from sightline.functions.shapiro import shapiro_wilk
 from sightline.operators.encoding import label_encode
+from sightline.operators.hypothesis import normality
 from sightline.plans.gram import Moments, cross_moments, uncentred_vif
 from sightline.plans.ordered import over_neighbours
 
 MIN_ROWS = 10
-NORMALITY_ROWS = 5000
 
 COEFFICIENTS = "term string, coefficient double, std_error double, statistic double, p_value double, significant boolean"
 SUMMARY = "measure string, value double"
@@ -229,10 +228,11 @@ def run_regression(df: DataFrame, target: str, predictors: Sequence[str], kind:
 
 
 def residual_diagnostics(fit: Fit, order_by: Sequence[str]) -> DataFrame:
-    """(check, statistic, p_value, passed): Shapiro on the first 5000, Breusch-Pagan, mean and spread."""
-    e = fit.fitted().select(*[quoted(c) for c in order_by], "fitted", "residual")
-    head = e.orderBy(*[quoted(c) for c in order_by], "fitted", "residual").limit(NORMALITY_ROWS)
-    values = np.array([r["residual"] for r in head.select("residual").collect()])
+    """(check, statistic, p_value, passed): Kolmogorov-Smirnov against the fitted normal over all residuals, Breusch-Pagan, mean and spread.
+
+    ``order_by`` is not needed for any of them and kept for callers that pass it.
+    """
+    e = fit.fitted().select("fitted", "residual")
     row = e.agg(
         F.count("*").alias("n"),
         F.avg("residual").alias("mean"),
@@ -240,9 +240,9 @@ def residual_diagnostics(fit: Fit, order_by: Sequence[str]) -> DataFrame:
         F.regr_r2(F.col("residual") * F.col("residual"), F.col("fitted")).alias("r2"),
     ).first()
     out = []
-    if len(values) >= 8:
-        w, p = shapiro_wilk(values)
-        out.append(("Shapiro-Wilk", float(w), float(p), bool(p > 0.05)))
+    if row["n"] >= 8:
+        told = normality(e, "residual").first()
+        out.append((told["test"], told["statistic"], told["p_value"], told["passed"]))
     bp = row["n"] * (row["r2"] or 0.0)
     p = tails.chi2_sf(bp, 1)
     out.append(("Breusch-Pagan", float(bp), float(p), bool(p > 0.05)))

@@ -11,8 +11,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Background rows unless the caller says otherwise; the result's std_error shows what more would bring.
 BACKGROUND_ROWS = 100
-EXPLAINED_ROWS = 500
 
 
 def sample_by_hash(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
@@ -54,7 +54,7 @@ def permutation_shapley(
 ) -> DataFrame:
     """(id, feature, shap_value, feature_value, std_error) by walking from background rows to each row.
 
-    For every background row (at most 100) one seeded order of the features is
+    For every background row given one seeded order of the features is
     walked forwards and backwards, switching one feature at a time; the change of
     the prediction belongs to the feature switched. The values of a row add up to its
     prediction less the mean prediction of the background. Rows scored: explained x
@@ -64,7 +64,7 @@ def permutation_shapley(
     d = len(features)
     rng = random.Random(seed)
     walks = []
-    for i, r in enumerate(background.select(vector_to_array(column).alias("b")).limit(BACKGROUND_ROWS).collect()):
+    for i, r in enumerate(background.select(vector_to_array(column).alias("b")).collect()):
         order = list(range(d))
         rng.shuffle(order)
         walks.append((2 * i, r["b"], order))
@@ -109,11 +109,12 @@ def base_value(model: Model, background: DataFrame, class_index: int | None = No
     return scored.agg(F.avg(value)).first()[0]
 
 
-def explain(model: Model, prepared, column: str = "raw", class_index: int | None = None, seed: int = 42) -> tuple[DataFrame, float]:
-    """Values for up to 500 test rows against up to 100 training rows, and the base value."""
-    background = sample_by_hash(prepared.train, BACKGROUND_ROWS, seed)
-    explained = sample_by_hash(prepared.test, EXPLAINED_ROWS, seed)
-    values = permutation_shapley(model, background, explained, prepared.features, column, class_index, seed)
+def explain(
+    model: Model, prepared, column: str = "raw", class_index: int | None = None, seed: int = 42, background_rows: int = BACKGROUND_ROWS, explained: DataFrame | None = None
+) -> tuple[DataFrame, float]:
+    """Values for all test rows, or those given, against ``background_rows`` seeded training rows, and the base value."""
+    background = sample_by_hash(prepared.train, background_rows, seed)
+    values = permutation_shapley(model, background, prepared.test if explained is None else explained, prepared.features, column, class_index, seed)
     return values, base_value(model, background, class_index)
 
 

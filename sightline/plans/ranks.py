@@ -16,18 +16,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import nan_to_null, quoted
-from sightline.plans.longform import aggregate_rows, value_counts
+from sightline.plans.longform import aggregate_rows
 from sightline.plans.lookup import attach
 from sightline.plans.storage import materialise
 
-# Up to this many rows the built-in exact percentile (which keeps its values in
-# one buffer) is used; beyond it the bucketed selection is.
-EXACT_BUFFER_ROWS = 2_000_000
+#: Edges of the value buckets are literals of the plan, so their number has an end.
+MOST_BUCKETS = 1 << 16
 
 
 def bucket_count(df: DataFrame) -> int:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(4096, max(16, 2 * parts))
+    return min(MOST_BUCKETS, max(16, 2 * parts))
 
 
 def value_splits(df: DataFrame, cols: Sequence[str], buckets: int) -> dict[str, list[float]]:
@@ -110,7 +109,6 @@ def quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     accuracy: int | None = None,
-    buffer_rows: int | None = None,
 ) -> DataFrame:
     """(keys..., column, q): exact linearly interpolated quantiles, ``q`` aligned with ``probs``.
 
@@ -119,9 +117,7 @@ def quantiles(
     plist = [float(p) for p in probs]
     if accuracy is not None:
         return _direct(df, cols, keys, lambda c: F.percentile_approx(c, plist, accuracy))
-    if fits_buffer(df, buffer_rows):
-        return counted_quantiles(value_counts(df, cols, keys, "double"), plist, keys)
-    return _selected(df, cols, plist, keys)
+    return selected_quantiles(value_ranks(df, cols, keys), plist, keys)
 
 
 def _direct(df: DataFrame, cols: Sequence[str], keys: Sequence[str], fn) -> DataFrame:
@@ -132,21 +128,8 @@ def _direct(df: DataFrame, cols: Sequence[str], keys: Sequence[str], fn) -> Data
     return df.groupBy(*[quoted(k) for k in keys]).agg(packed).select(*[quoted(k) for k in keys], F.inline("_rows"))
 
 
-def counted_quantiles(counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Quantiles of a (keys..., column, value, count) table, each column merged in a task of its own."""
-    return counts.groupBy(*keys, "column").agg(weighted_quantiles(probs).alias("q"))
-
-
-def weighted_quantiles(probs: Sequence[float]):
-    return F.percentile(F.col("value"), F.array(*[F.lit(float(p)) for p in probs]), F.col("count"))
-
-
-def fits_buffer(df: DataFrame, buffer_rows: int | None = None) -> bool:
-    return df.count() <= (EXACT_BUFFER_ROWS if buffer_rows is None else buffer_rows)
-
-
-def _selected(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
-    ranks = value_ranks(df, cols, keys)
+def selected_quantiles(ranks: DataFrame, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of a table of value ranks: at most two values are picked for each column and probability."""
     targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)])
     spot = (F.col("n") - 1) * F.col("t.p")
     low, high = F.floor(spot), F.ceil(spot)

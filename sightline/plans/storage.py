@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="sightline-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured

@@ -276,7 +276,17 @@ def _(spark, sf):
     return cleaning.apply_plan(view(spark, sf, "fx_nulls").drop("l_shipdate"), PLAN, audit=False).data
 
 
-@query("clean_plan_log")
+@query(
+    "clean_plan_log",
+    """WITH n AS (SELECT count(*) AS rows FROM (SELECT DISTINCT * EXCLUDE (l_shipdate) FROM fx_nulls))
+    SELECT 0::INT AS step, 'input' AS action, '' AS detail, (SELECT count(*) FROM fx_nulls) AS "rows", 6::INT AS "columns"
+    UNION ALL SELECT 1, 'remove_duplicates', '', rows, 6 FROM n
+    UNION ALL SELECT 2, 'drop_constants', '["constant_col"]', rows, 5 FROM n
+    UNION ALL SELECT 3, 'missing_strategy', '{"l_extendedprice": "median", "l_quantity": "mean", "l_returnflag": "mode"}', rows, 5 FROM n
+    UNION ALL SELECT 4, 'outlier_strategy', '"iqr_clip"', rows, 5 FROM n
+    UNION ALL SELECT 5, 'encode_method', '"label"', rows, 5 FROM n
+    UNION ALL SELECT 6, 'scale_method', '"minmax"', rows, 5 FROM n""",
+)
 def _(spark, sf):
     return cleaning.apply_plan(view(spark, sf, "fx_nulls").drop("l_shipdate"), PLAN).log
 
@@ -361,13 +371,13 @@ def _(spark, sf):
 
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
 
 
-LOF_SQL = """WITH x AS (SELECT vec_id, """ + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(4)) + """ FROM embeddings),
-    st AS (SELECT """ + ", ".join(f"avg(e{i}) AS m{i}, stddev_pop(e{i}) AS s{i}" for i in range(4)) + """ FROM x),
-    z AS (SELECT vec_id, """ + ", ".join(f"(e{i} - m{i}) / s{i} AS z{i}" for i in range(4)) + """ FROM x, st),
-    p AS (SELECT a.vec_id AS id, b.vec_id AS nb, sqrt(""" + " + ".join(f"(a.z{i} - b.z{i}) ** 2" for i in range(4)) + """) AS d
+LOF_SQL = """WITH x AS (SELECT vec_id, """ + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(64)) + """ FROM embeddings),
+    st AS (SELECT """ + ", ".join(f"avg(e{i}) AS m{i}, stddev_pop(e{i}) AS s{i}" for i in range(64)) + """ FROM x),
+    z AS (SELECT vec_id, """ + ", ".join(f"(e{i} - m{i}) / s{i} AS z{i}" for i in range(64)) + """ FROM x, st),
+    p AS (SELECT a.vec_id AS id, b.vec_id AS nb, sqrt(""" + " + ".join(f"(a.z{i} - b.z{i}) ** 2" for i in range(64)) + """) AS d
           FROM z a, z b WHERE a.vec_id <> b.vec_id),
     n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS k FROM p) WHERE k <= 20),
     kd AS (SELECT id, max(d) AS kd FROM n GROUP BY id),

@@ -141,7 +141,7 @@ def _(spark, sf):
 @query("ml_boosting")
 def _(spark, sf):
     p = models.prepare(_labels(spark, sf), "quality", ["doc_id"])
-    _, predictions = models.train("Gradient Boosting", p, {"maxIter": 10})
+    _, predictions = models.train("Gradient Boosting", p)
     return models.metrics_table(predictions, True)
 
 
@@ -233,6 +233,12 @@ def _(spark, sf):
     return neighbours.vote(neighbours.nearest_neighbours(v, v, 5, exclude_self=True), v.select("id", "label"))
 
 
+@query("ml_knn_regress", f"WITH {NEAR} SELECT id, round(avg(label), 6)::DOUBLE AS prediction FROM n GROUP BY id")
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    return neighbours.vote(neighbours.nearest_neighbours(v, v, 5, exclude_self=True), v.select("id", "label"), False)
+
+
 @query(
     "shap_linear",
     """WITH m AS (SELECT avg(l_quantity) AS m1, avg(l_discount) AS m2 FROM lineitem),
@@ -258,12 +264,17 @@ def _(spark, sf):
 # ---------------------------------------------------------------- clusters
 
 
+# all dimensions of the vectors
+DIMS = 64
+
+
 def _cluster_frame(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMS)])
 
 
-E8 = "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8)) + " FROM embeddings"
+E_NAMES = ", ".join(f"e{i}" for i in range(DIMS))
+VECTORS = "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(DIMS)) + " FROM embeddings"
 
 
 @query("cluster_kmeans")
@@ -278,21 +289,21 @@ def _(spark, sf):
 
 @query(
     "cluster_silhouette",
-    f"""WITH x AS ({E8}), d AS (SELECT a.vec_id AS i, a.label AS own, b.label AS other, b.vec_id AS j,
-    sqrt({' + '.join(f'(a.e{i} - b.e{i}) ** 2' for i in range(8))}) AS d FROM x a, x b),
+    f"""WITH x AS ({VECTORS}), d AS (SELECT a.vec_id AS i, a.label AS own, b.label AS other, b.vec_id AS j,
+    sqrt({' + '.join(f'(a.e{i} - b.e{i}) ** 2' for i in range(DIMS))}) AS d FROM x a, x b),
     s AS (SELECT i, own, other, sum(d) AS s, count(*) AS n FROM d GROUP BY 1, 2, 3),
     a AS (SELECT i, s / (n - 1) AS a FROM s WHERE own = other AND n > 1), b AS (SELECT i, min(s / n) AS b FROM s WHERE own <> other GROUP BY i)
     SELECT round(sum((b - a) / greatest(a, b)) / (SELECT count(*) FROM x), 6) AS silhouette FROM a JOIN b USING (i)""",
 )
 def _(spark, sf):
-    rows = VectorAssembler(inputCols=[f"e{i}" for i in range(8)], outputCol="features").transform(_cluster_frame(spark, sf))
+    rows = VectorAssembler(inputCols=[f"e{i}" for i in range(DIMS)], outputCol="features").transform(_cluster_frame(spark, sf))
     s = clusters.euclidean_silhouette(rows.select("features", F.col("label").alias("cluster")))
     return spark.createDataFrame([(s,)], "silhouette double")
 
 
 @query(
     "cluster_profile",
-    f"""WITH x AS ({E8}), l AS (UNPIVOT x ON e0, e1, e2, e3, e4, e5, e6, e7 INTO NAME feature VALUE v),
+    f"""WITH x AS ({VECTORS}), l AS (UNPIVOT x ON {E_NAMES} INTO NAME feature VALUE v),
     g AS (SELECT feature, avg(v) AS gm, stddev_samp(v) AS gs FROM l GROUP BY feature),
     c AS (SELECT label AS cluster, feature, count(*) AS size, avg(v) AS mean, stddev_samp(v) AS std FROM l GROUP BY 1, 2)
     SELECT cluster, feature, size, round(100.0 * size / (SELECT count(*) FROM x), 6)::DOUBLE AS percentage, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std,
@@ -318,14 +329,14 @@ def _(spark, sf):
 
 @query(
     "cluster_radar",
-    f"""WITH x AS ({E8}), l AS (UNPIVOT x ON e0, e1, e2, e3, e4, e5, e6, e7 INTO NAME feature VALUE v),
+    f"""WITH x AS ({VECTORS}), l AS (UNPIVOT x ON {E_NAMES} INTO NAME feature VALUE v),
     g AS (SELECT feature, avg(v) AS gm, stddev_samp(v) AS gs FROM l GROUP BY feature),
     c AS (SELECT label AS cluster, feature, avg(v) AS mean FROM l GROUP BY 1, 2)
     SELECT cluster, feature, round(least(1, greatest(0, ((mean - gm) / (gs + 1e-9) + 3) / 6)), 6) AS level FROM c JOIN g USING (feature)""",
 )
 def _(spark, sf):
     frame = _cluster_frame(spark, sf).drop("vec_id")
-    return clusters.radar(clusters.profile_numeric(frame, "label"), [f"e{i}" for i in range(8)])
+    return clusters.radar(clusters.profile_numeric(frame, "label"), [f"e{i}" for i in range(DIMS)])
 
 
 @query("cluster_personas")

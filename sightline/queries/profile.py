@@ -341,11 +341,11 @@ def _(spark, sf):
         (SELECT string_agg(CAST({c} AS VARCHAR), ', ' ORDER BY c_custkey) FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 3)) AS samples,
         {d} AS description FROM customer"""
         for c, t, d in (
-            ("c_custkey", "bigint", "CASE WHEN count(DISTINCT c_custkey) <= 2 THEN 'Binary indicator (0/1)' ELSE 'Unique identifier' END"),
-            ("c_name", "string", "'Name field'"),
-            ("c_nationkey", "int", "CASE WHEN count(DISTINCT c_nationkey) <= 10 THEN 'Ordinal' ELSE 'Unique identifier' END"),
-            ("c_acctbal", "double", "format('Numeric measure (range: {:.2f} to {:.2f})', min(c_acctbal), max(c_acctbal))"),
-            ("c_mktsegment", "string", "format('Categorical ({} categories)', count(DISTINCT c_mktsegment))"),
+            ("c_custkey", "bigint", "CASE WHEN count(DISTINCT c_custkey) <= 2 THEN 'flag with two values' WHEN count(DISTINCT c_custkey) <= 10 THEN concat('code or rank, ', count(DISTINCT c_custkey), ' values') ELSE 'row identifier' END"),
+            ("c_name", "string", "CASE WHEN count(DISTINCT c_name) <= 2 THEN 'flag with two values' WHEN count(DISTINCT c_name) <= 20 THEN concat('category, ', count(DISTINCT c_name), ' values') ELSE 'name' END"),
+            ("c_nationkey", "int", "CASE WHEN count(DISTINCT c_nationkey) <= 2 THEN 'flag with two values' WHEN count(DISTINCT c_nationkey) <= 10 THEN concat('code or rank, ', count(DISTINCT c_nationkey), ' values') ELSE 'row identifier' END"),
+            ("c_acctbal", "double", "format('measure from {:.2f} to {:.2f}', min(c_acctbal), max(c_acctbal))"),
+            ("c_mktsegment", "string", "concat('category, ', count(DISTINCT c_mktsegment), ' values')"),
         )
     ),
 )
@@ -403,6 +403,11 @@ def _(spark, sf):
     return profile.preview(table(spark, sf, "orders"), ["o_orderkey"], 10, "tail")
 
 
+@query("prf_preview_head", "SELECT * FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10)")
+def _(spark, sf):
+    return profile.preview(table(spark, sf, "orders"), ["o_orderkey"], 10)
+
+
 @query("prf_sample")
 def _(spark, sf):
     return profile.sample_rows(table(spark, sf, "customer"), ["c_custkey"], 100)

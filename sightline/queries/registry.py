@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.functions.columns import quoted
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -65,17 +67,9 @@ TABLES = (
 )
 
 
-# Tables with costly work per row whose single test file would otherwise be one task.
-SPREAD = ("events", "documents", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A shared table. A large one that scans in fewer tasks than there are cores is spread first."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A shared table, as it is."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +98,7 @@ def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
     """Doubles cut to a fixed number of places, so that summation order does not show."""
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return df.select(
-        *[(F.round(F.col(f"`{c}`"), places) + F.lit(0.0)).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns]
+        *[(F.round(quoted(c), places) + F.lit(0.0)).alias(c) if c in doubles else quoted(c) for c in df.columns]
     )
 
 

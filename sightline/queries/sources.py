@@ -17,6 +17,13 @@ def _(spark, sf):
     return readers.load_table(spark, path, "csv")
 
 
+@query("src_whitespace", "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM customer")
+def _(spark, sf):
+    path = scratch_path(spark, "text")
+    table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").write.option("header", True).option("sep", " ").csv(path)
+    return readers.read_text_table(spark, path)
+
+
 @query("src_json", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _(spark, sf):
     path = scratch_path(spark, "json")

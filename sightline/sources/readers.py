@@ -14,27 +14,23 @@ from pyspark.sql import types as T
 from sightline.sources.html_tables import read_html
 
 DELIMITERS = (",", ";", "\t", "|")
-SNIFF_LINES = 50
 EXTENSIONS = ("csv", "txt", "tsv", "json", "jsonl", "parquet", "feather", "arrow", "html", "htm")
 
 
-def _head(spark: SparkSession, path: str, lines: int = SNIFF_LINES) -> list[str]:
+def _head(spark: SparkSession, path: str, lines: int) -> list[str]:
     return [r["value"] for r in spark.read.text(path).limit(lines).collect()]
 
 
-def _cells(line: str, delimiter: str) -> int:
-    """Cells in a line, delimiters inside double quotes not counted."""
-    return len(re.sub(r'"[^"]*"', "", line).split(delimiter))
-
-
 def sniff_delimiter(spark: SparkSession, path: str) -> str | None:
-    """The first of comma, semicolon, tab and pipe that gives every sampled line the same two or more cells."""
-    lines = [x for x in _head(spark, path) if x.strip()]
-    for d in DELIMITERS:
-        counts = {_cells(x, d) for x in lines}
-        if len(counts) == 1 and counts.pop() > 1:
-            return d
-    return None
+    """The first of comma, semicolon, tab and pipe that gives every line the same two or more cells; quoted ones don't count.
+
+    All lines are looked at, in one scan.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    cells = [F.length(bare) - F.length(F.translate(bare, d, "")) for d in DELIMITERS]
+    row = lines.agg(*[f(c).alias(f"{name}{i}") for i, c in enumerate(cells) for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    return next((d for i, d in enumerate(DELIMITERS) if row[f"hi{i}"] and row[f"lo{i}"] == row[f"hi{i}"]), None)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str = "UTF-8") -> DataFrame:
@@ -45,17 +41,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_text_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Text split at tabs, else at runs of whitespace, else at commas: the first giving two or more columns."""
-    lines = [x for x in _head(spark, path) if x.strip()]
-    header = lines[0] if lines else ""
+    """Text split at tabs, else at runs of whitespace, else at commas: the first giving two or more columns.
+
+    The first line of each file is its header; rows that look like it stay. Cells beyond the header's
+    are kept in ``_rest``.
+    """
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    header = first["value"] if first else ""
     if "\t" in header:
         return spark.read.option("header", True).option("sep", "\t").option("encoding", encoding).option("inferSchema", True).csv(path)
     names = header.split()
     if len(names) > 1:
+        lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_id"))
+        lines = lines.where(F.trim("value") != "")
+        heads = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min("_id").alias("_id"))  # a row for each file
+        rows = lines.join(F.broadcast(heads.select("_id")), "_id", "left_anti")
         cells = F.split(F.trim("value"), r"\s+")
-        rows = spark.read.text(path).where((F.trim("value") != "") & (F.trim("value") != header.strip()))
-        wide = rows.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)])
-        return infer_types(wide)
+        wide = [F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)]
+        widest = rows.agg(F.max(F.size(cells))).first()[0] or 0
+        if widest > len(names):  # what goes beyond the header is kept in a column of its own
+            wide.append(F.nullif(F.array_join(F.slice(cells, len(names) + 1, widest), " "), F.lit("")).alias("_rest"))
+        return infer_types(rows.select(*wide))
     return spark.read.option("header", True).option("sep", ",").option("encoding", encoding).option("inferSchema", True).csv(path)
 
 

@@ -163,7 +163,7 @@ def test_encodings(spark, gaps):
 
 def test_plan_rejects_empty_and_unknown(spark):
     df = spark.createDataFrame([(None,)], "v double")
-    with pytest.raises(ValueError, match="All rows removed"):
+    with pytest.raises(ValueError, match="no row is left"):
         cleaning.apply_plan(df, {"missing_strategy": {"v": "drop"}})
     with pytest.raises(ValueError, match="unknown settings"):
         cleaning.apply_plan(df, {"drop_all": True})
@@ -466,3 +466,45 @@ def test_streams(spark, sf, load, tmp_path):
     assert spark.table("flags").where("_anomaly_flag = 'Anomaly'").count() == still.where("_anomaly_flag = 'Anomaly'").count()
     want = events.agg(F.sum("value")).first()[0]
     assert math.isclose(spark.table("bins").agg(F.sum("value")).first()[0], want)
+
+
+# ---------------------------------------------------------------- names, sizes, hot values
+
+
+def test_names_with_dots_and_ticks(spark):
+    df = spark.createDataFrame([(1.0, float("nan")), (2.0, 3.0), (None, 4.0)], "`a.b` double, `c``d` double")
+    got = {r["column"]: r for r in profile.describe_numeric(df).collect()}
+    assert got["a.b"]["count"] == 2 and got["c`d"]["median"] == 3.5
+    assert {r["column"] for r in profile.missing_analysis(df).collect()} == {"a.b", "c`d"}
+
+
+def test_silhouette_has_no_row_limit(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(300, 3)), rng.normal(size=(200, 3)) + 4, [[9.0, 9.0, 9.0]] * 40])
+    label = [0] * 300 + [1] * 200 + [2] * 40
+    from pyspark.ml.functions import array_to_vector
+
+    df = frame(spark, {"v": [list(map(float, r)) for r in x], "cluster": label}).select(array_to_vector("v").alias("features"), F.col("cluster").cast("int").alias("cluster"))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    label = np.array(label)
+    want = []
+    for i in range(len(x)):
+        means = {k: d[i, label == k].sum() / ((label == k).sum() - (k == label[i])) for k in set(label)}
+        a = means.pop(label[i])
+        want.append((min(means.values()) - a) / max(a, min(means.values())))
+    assert clusters.euclidean_silhouette(df, block=64) == pytest.approx(np.mean(want))
+    assert clusters.euclidean_silhouette(df) == pytest.approx(np.mean(want))
+
+
+def test_lookup_parts_identical_rows(spark):
+    from sightline.plans.lookup import attach
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([("hot",)] * 3000 + [(f"v{i}",) for i in range(30)], "v string").repartition(3)
+        facts = rows.groupBy(F.col("v").alias("value")).agg(F.count("*").alias("count")).withColumn("n", F.lit(3030))
+        out = attach(rows, F.col("v"), facts, ["count"], 10)
+        assert {(r["v"], r["count"]) for r in out.collect()} == {("hot", 3000), *((f"v{i}", 1) for i in range(30))}
+        assert any("_salt" in line and "hashpartitioning" in line for line in out._jdf.queryExecution().executedPlan().toString().split("\n"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -106,12 +106,14 @@ def test_recommendation_follows_types_and_normality(spark):
     assert pick("x", "g3") == "One-Way ANOVA"
     assert pick("e", "g3") == "Kruskal-Wallis H Test"
     assert pick("g2", "g3") == "Chi-Square Test of Independence"
-    assert "at least 2 groups" in hypothesis.recommend_test(df, "x", "one").first()["interpretation"]
+    assert "one group" in hypothesis.recommend_test(df, "x", "one").first()["interpretation"]
     row = hypothesis.build_hypothesis(df, "x", "affects", "y").first()
-    assert row["conclusion"].startswith("Reject H0")
+    assert (row["reading"], row["decision"], row["test"]) == ("influence", "rejected", "Pearson Correlation")
+    assert hypothesis.build_hypothesis(df, "x", "varies with", "g2").first()["reading"] == "association"
+    assert hypothesis.build_hypothesis(df, "x", "differs by", "g2").first()["reading"] == "difference"
 
 
-def test_normality_above_the_shapiro_limit(spark, monkeypatch):
+def test_normality_is_one_method_at_every_size(spark, monkeypatch):
     monkeypatch.setattr(hypothesis, "SHAPIRO_ROWS", 50)
     rng = np.random.default_rng(12)
     pdf = pd.DataFrame({"g": ["n"] * 400 + ["e"] * 400 + ["s"] * 30, "v": np.r_[rng.normal(size=400), rng.exponential(size=400), rng.normal(size=30)]})
@@ -121,7 +123,11 @@ def test_normality_above_the_shapiro_limit(spark, monkeypatch):
     d = max((c - np.arange(400) / 400).max(), (np.arange(1, 401) / 400 - c).max())
     assert got["n"]["statistic"] == pytest.approx(d)
     assert got["n"]["passed"] and not got["e"]["passed"]
-    assert got["s"]["test"] == "Shapiro-Wilk"
+    assert {r["test"] for r in got.values()} == {"Kolmogorov-Smirnov"}
+    with pytest.raises(ValueError):
+        hypothesis.normality(frame(spark, pdf), "v", ["g"], method="shapiro")
+    few = hypothesis.normality(frame(spark, pdf[-30:]), "v", ["g"], method="shapiro").first()
+    assert few["test"] == "Shapiro-Wilk" and few["passed"] == (few["p_value"] > 0.05)
 
 
 # ---------------------------------------------------------------- regression
