@@ -14,7 +14,7 @@ MIN_WORDS = 5
 #: From this many words on, one word may be inserted, deleted or replaced.
 EDIT_WORDS = 10
 #: A line is cut into so many stretches; two lines one edit apart agree outside one of them.
-STRETCHES = 4
+STRETCHES = 2
 #: Bits of the filter that keeps lines without a candidate partner out of the join; it is 2 MB and broadcast.
 FILTER_BITS = 1 << 24
 
@@ -25,26 +25,29 @@ def joined_without(array: Column, at: Column, skip: Column, size: Column) -> Col
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line of ``min_words`` words or more: doc_id, _row (hash of the text), pos, line, words, n, a, b (128 bits of the line)."""
+    """A row for each line of ``min_words`` words or more: doc_id, _row (hash of the text), pos, line, n (words), a, b (128 bits of the line)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("_row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r")))
-    rows = rows.withColumn("words", F.split("line", " ")).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
+    # made inside the array, so that each value is computed once and not again in filters and keys above
+    trimmed = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(" \t\r")).alias("line")))
+    counted = F.transform(trimmed, lambda x: F.struct(x["pos"], x["line"], (F.octet_length(x["line"]) - F.octet_length(F.replace(x["line"], F.lit(" "), F.lit(""))) + 1).alias("n")))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("_row"), F.inline(F.filter(counted, lambda x: x["n"] >= min_words)))
     return rows.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(1), F.col("line")))
 
 
-def stretch_keys(hashes: Column, n: Column, stretches: int) -> list[Column]:
+def stretch_keys(line: Column, n: Column, stretches: int) -> list[Column]:
     """Keys of which two lines one edit apart share one: the line without one stretch, at its own length and at one word less.
 
     Of two lines whose shorter one has m words, with an edit in stretch k, the words before k and
-    those after it (counted from the end) are the same.
+    those after it (counted from the end) are the same. They are cut from the line's text, which
+    costs less than an array of its words.
     """
     keys = []
+    words = lambda count: F.call_function("substring_index", line, F.lit(" "), count)
     for m in (n, n - 1):
         for k in range(stretches):
             before = F.floor(m * k / stretches).cast("int")
             after = F.greatest(m - F.floor(m * (k + 1) / stretches).cast("int") - 1, F.lit(0))
-            keys.append(F.xxhash64(F.lit(k), m, joined_without(hashes, before, n - before - after, n)))
+            keys.append(F.xxhash64(F.lit(k), m, words(before), words(-after)))
     return keys
 
 
@@ -58,8 +61,8 @@ def near_lines(lines: DataFrame, edit_words: int, stretches: int, filter_bits: i
     variant equal to a whole line is a line with one word more. Each variant is grouped with the
     earliest line only, the edit distance is verified on the words, and no pairs within a group are made.
     """
-    long = lines.where(F.col("n") >= edit_words).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    long = long.withColumn("keys", F.array(*stretch_keys(F.col("h"), F.col("n"), stretches)))
+    long = lines.where(F.col("n") >= edit_words)
+    long = long.withColumn("keys", F.array(*stretch_keys(F.col("line"), F.col("n"), stretches)))
     shared = long.select("a", F.explode("keys").alias("key")).groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi")
     spot = F.pmod(F.col("key"), F.lit(filter_bits))
     words = shared.groupBy(F.shiftright(spot, 6).alias("_at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))).alias("_bits"))
@@ -137,11 +140,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = E
     lines = lines_of(docs, min_words)
     near = near_lines(lines, edit_words, stretches, filter_bits).withColumn("near", F.lit(True))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos")
-    once = lines.select("doc_id", "pos", "a", "b").groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("_n"))
+    placed = materialise(lines.select("doc_id", "_row", "pos", "a", "b"))
+    total = placed.count()
+    once = placed.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("_n"))
     facts = once.join(near, ["a", "b"], "left").where("_n > 1 or near")
     facts = materialise(facts.select("a", "b", "first", "_n", F.coalesce("near", F.lit(False)).alias("near")))
-    total = docs.agg(F.sum(F.size(F.split("text", "\n", -1)).cast("bigint"))).first()[0] or 0
-    seen = attach(lines.select("doc_id", "_row", "pos", "a", "b"), facts, ["a", "b"], ["first", "near"], "_n", total, F.xxhash64("doc_id", "pos"))
+    seen = attach(placed, facts, ["a", "b"], ["first", "near"], "_n", total, F.xxhash64("doc_id", "pos"))
     gone = seen.where(F.col("first").isNotNull() & (F.col("near") | ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos")))))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), "_row").agg(F.collect_set("pos").alias("_gone"))
     whole = docs.withColumn("_of", F.xxhash64(F.coalesce("text", F.lit(""))))
