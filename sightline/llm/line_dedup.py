@@ -62,13 +62,15 @@ def near_lines(lines: DataFrame, edit_words: int, stretches: int, filter_bits: i
     earliest line only, the edit distance is verified on the words, and no pairs within a group are made.
     """
     long = lines.where(F.col("n") >= edit_words)
-    long = long.withColumn("keys", F.array(*stretch_keys(F.col("line"), F.col("n"), stretches)))
-    shared = long.select("a", F.explode("keys").alias("key")).groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi")
+    keys = stretch_keys(F.col("line"), F.col("n"), stretches)
+    shared = long.select("a", F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi")
     spot = F.pmod(F.col("key"), F.lit(filter_bits))
     words = shared.groupBy(F.shiftright(spot, 6).alias("_at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))).alias("_bits"))
     words = materialise(words)  # filter_bits / 64 rows at most
+    # a generator, so that each key is computed once and not again in each place that reads it
+    long = long.select("doc_id", "pos", "line", "a", "b", F.inline(F.array(F.struct(*[F.pmod(key, F.lit(filter_bits)).alias(f"_key{k}") for k, key in enumerate(keys)]))))
     for k in range(2 * stretches):
-        spot = F.pmod(F.col("keys")[k], F.lit(filter_bits))
+        spot = F.col(f"_key{k}")
         own = words.select(F.col("_at").alias(f"_at{k}"), F.col("_bits").alias(f"_bits{k}"))
         long = long.join(F.broadcast(own), F.shiftright(spot, 6) == F.col(f"_at{k}"), "left")
         long = long.withColumn(f"_on{k}", F.coalesce(F.getbit(F.col(f"_bits{k}"), F.pmod(spot, F.lit(64)).cast("int")) == 1, F.lit(False))).drop(f"_at{k}", f"_bits{k}")
