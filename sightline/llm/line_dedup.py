@@ -81,13 +81,12 @@ def near_lines(lines: DataFrame, edit_words: int, stretches: int, filter_bits: i
     texts = materialise(texts)
     rows = texts.withColumn("words", F.split("line", " ")).withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("h"))
     # places to delete at: those of the stretches on, with a word to spare since the partner may be a word shorter
-    places = F.filter(
-        F.sequence(F.lit(0), F.col("n") - 1),
-        lambda i: F.exists(
-            F.sequence(F.lit(0), F.lit(stretches - 1)),
-            lambda k: F.element_at("on", (k + 1).cast("int")) & (i >= F.floor((F.col("n") - 1) * k / stretches)) & (i <= F.floor(F.col("n") * (k + 1) / stretches) + 1),
-        ),
-    )
+    ranges = []
+    for k in range(stretches):
+        first = F.floor((F.col("n") - 1) * k / stretches).cast("int")
+        last = F.least(F.floor(F.col("n") * (k + 1) / stretches).cast("int") + 1, F.col("n") - 1)
+        ranges.append(F.when(F.col("on")[k], F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+    places = F.array_distinct(F.concat(*ranges))
     rows = rows.withColumn("i", F.explode(F.concat(F.array(F.lit(-1)), places)))
     rest = F.when(F.col("i") < 0, F.col("h")).otherwise(joined_without(F.col("h"), F.col("i"), F.lit(1), F.col("n")))
     rows = rows.select("a", "b", "first", "i", F.xxhash64(rest).alias("v"), F.xxhash64(F.lit(1), rest).alias("u"))
@@ -141,14 +140,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = E
     docs = docs.drop("n_lines", "n_dropped")
     lines = lines_of(docs, min_words)
     near = near_lines(lines, edit_words, stretches, filter_bits).withColumn("near", F.lit(True))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos")
+    # a document's number (nulls last) and a line's place in one number, of which a hash aggregate can keep the least
+    order = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
     placed = materialise(lines.select("doc_id", "_row", "pos", "a", "b"))
     total = placed.count()
     once = placed.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("_n"))
     facts = once.join(near, ["a", "b"], "left").where("_n > 1 or near")
     facts = materialise(facts.select("a", "b", "first", "_n", F.coalesce("near", F.lit(False)).alias("near")))
     seen = attach(placed, facts, ["a", "b"], ["first", "near"], "_n", total, F.xxhash64("doc_id", "pos"))
-    gone = seen.where(F.col("first").isNotNull() & (F.col("near") | ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos")))))
+    gone = seen.where(F.col("near") | (F.col("first") != order))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), "_row").agg(F.collect_set("pos").alias("_gone"))
     whole = docs.withColumn("_of", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_row")), "left")
