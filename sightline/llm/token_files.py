@@ -135,7 +135,7 @@ class WordEncoder:
     piece not met before goes to the library's model; all other words go through the whole library.
     """
 
-    WORDS, PIECES = 400_000, 800_000
+    WORDS, PIECES = 900_000, 900_000
     #: Letters that are their own normal form and have the same lower case everywhere.
     PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
     MARK = b"\xff\xff\xff\xff"  # no id looks like it
