@@ -162,7 +162,25 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = E
     return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_dropped")
 
 
-@query("op6_line_dedup")
+# every variant of every line, without the filter, for documents whose doc_id occurs once
+SQL = """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS raw, trim(ls[i], ' ' || chr(9) || chr(13)) AS line, doc_id::HUGEINT * 2147483648 + i AS o FROM d, unnest(generate_series(1, len(ls))) AS g(i)),
+k AS (SELECT * FROM l WHERE len(string_split(line, ' ')) >= 5),
+u AS (SELECT line, string_split(line, ' ') AS w, min(o) AS o FROM k GROUP BY line),
+v AS (SELECT line, o, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest FROM u, unnest(generate_series(1, len(w))) AS g(i) WHERE len(w) >= 10),
+near AS (
+    SELECT line FROM (SELECT line, o, min(o) OVER (PARTITION BY rest, i) AS m FROM v) WHERE m < o
+    UNION SELECT v.line FROM v JOIN u ON v.rest = u.line WHERE len(u.w) >= 10 AND u.o < v.o
+    UNION SELECT u.line FROM v JOIN u ON v.rest = u.line WHERE len(u.w) >= 10 AND v.o < u.o),
+gone AS (SELECT k.o FROM k JOIN u ON k.line = u.line WHERE k.o <> u.o OR k.line IN (SELECT line FROM near)),
+r AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.i) FILTER (WHERE gone.o IS NULL) AS rest, count(*) AS n_lines, count(gone.o) AS n_dropped FROM l LEFT JOIN gone ON l.o = gone.o GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(rest, '') END AS text, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_dropped
+FROM d JOIN r ON d.doc_id = r.doc_id
+"""
+
+
+@query("op6_line_dedup", SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the lines that stay, its lines and how many went."""
     return dedup_lines(documents(spark, sf_dir, "doc_id", "text"))
