@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +30,27 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame | None]
     """``fn`` over Arrow batches; what it returns for a batch is written at once, so memory stays at one batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in whole_ids(batches):
             if len(batch) and (out := fn(batch)) is not None and len(out):
                 yield out
 
-    return df.mapInPandas(run, schema)
+    return split_ids(df).mapInPandas(run, schema)
+
+
+def split_ids(df: DataFrame) -> DataFrame:
+    """doc_id without nulls and a mark for them: pandas would read a nullable number as a float, which rounds large ids."""
+    if "doc_id" not in df.columns:
+        return df
+    return df.withColumn("_no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("bigint")))
+
+
+def whole_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of a frame from ``split_ids`` with doc_id as a nullable whole number again."""
+    for batch in batches:
+        if "_no_id" in batch:
+            gone = batch.pop("_no_id").to_numpy(bool)
+            batch["doc_id"] = pd.arrays.IntegerArray(batch["doc_id"].to_numpy(np.int64), gone)
+        yield batch
 
 
 def partitions(spark: SparkSession) -> int:

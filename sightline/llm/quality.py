@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sightline.llm.common import documents, map_batches, texts
 from sightline.llm.labels import SAMPLE, fold, gather, labelled, sigmoid
@@ -182,13 +183,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, all columns as they are; nothing is shuffled."""
 
-    def run(batches):
-        for rows in batches:
-            if len(rows):
-                got = model.score(np.array([features(t if isinstance(t, str) else "") for t in rows["text"]]))
-                yield rows[got >= threshold]
+    @F.pandas_udf("double")
+    def rate(batch: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([features(t) for t in batch]).reshape(-1, len(FEATURES))))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.where(rate(F.coalesce("text", F.lit(""))) >= threshold)
 
 
 @query("op7_quality")

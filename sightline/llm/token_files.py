@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.bpe import byte_letters, shared_vocabulary
-from sightline.llm.common import documents, map_batches, partitions, texts
+from sightline.llm.common import documents, map_batches, partitions, split_ids, texts, whole_ids
 from sightline.llm.registry import query
 from sightline.plans.storage import scratch_path
 
@@ -258,7 +258,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 2) -> None:
     """Write the ids of all documents in ascending doc_id order to ``folder``.
 
     ``folder``/tables has the frequency tables, counted over all documents; ``folder``/blocks a row for
-    each block: the part and its number there, ids before it in the part, doc_ids and id
+    each block: the part and its number there, ids before it in the part, doc_ids (and which are null) and id
     counts of its documents, the coded ids. Parts are ranges of doc_id (nulls first), so no
     task sees more than its range, and a task that is run again writes the same blocks.
     ``folder``/ids is what the counting and the coding both read.
@@ -284,14 +284,15 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 2) -> None:
                 "block": number,
                 "before": before,
                 "n_ids": len(ids),
-                "doc_ids": [None if pd.isna(i) else int(i) for i in held_ids],
+                "doc_ids": [0 if pd.isna(i) else int(i) for i in held_ids],
+                "no_ids": [bool(pd.isna(i)) for i in held_ids],
                 "lengths": [len(h) // (4 if wide else 2) for h in held],
                 "coded": encode_block(ids, tables_of(shared.value)),
             }
             number, before, held_ids, held, waiting = number + 1, before + len(ids), [], [], 0
             return pd.DataFrame([row])
 
-        for batch in batches:
+        for batch in whole_ids(batches):
             for doc_id, ids in zip(batch["doc_id"].tolist(), batch["ids"].tolist()):
                 held_ids.append(doc_id)
                 held.append(ids)
@@ -301,10 +302,10 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 2) -> None:
         if held:
             yield close()
 
-    schema = "part int, block int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<int>, coded binary"
+    schema = "part int, block int, before bigint, n_ids bigint, doc_ids array<bigint>, no_ids array<boolean>, lengths array<int>, coded binary"
     order = F.col("doc_id").asc_nulls_first()
     ordered = encoded.repartitionByRange(partitions(spark), order).sortWithinPartitions(order, "tie")
-    ordered.mapInPandas(blocks, schema).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    split_ids(ordered).mapInPandas(blocks, schema).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
@@ -325,19 +326,19 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
 
     def decode(batch: pd.DataFrame) -> pd.DataFrame:
         tables, out = tables_of(shared.value), []
-        for part, before, docs, lengths, coded in zip(batch["part"], batch["before"], batch["doc_ids"], batch["lengths"], batch["coded"]):
+        for part, before, docs, gone, lengths, coded in zip(batch["part"], batch["before"], batch["doc_ids"], batch["no_ids"], batch["lengths"], batch["coded"]):
             got = decode_block(coded, tables)
             ends = np.cumsum(lengths).tolist()
-            for doc_id, a, b in zip(docs.tolist(), [0, *ends], ends):
+            for doc_id, missing, a, b in zip(docs.tolist(), gone.tolist(), [0, *ends], ends):
                 own = got[a:b]
-                out.append((None if doc_id is None or doc_id != doc_id else int(doc_id), starts[int(part)] + int(before) + a, b - a, zlib.crc32(own.tobytes())) + ((own.astype(np.int32),) if ids else ()))
+                out.append((None if missing else doc_id, starts[int(part)] + int(before) + a, b - a, zlib.crc32(own.tobytes())) + ((own.astype(np.int32),) if ids else ()))
         columns = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids
         frame = pd.DataFrame(out, columns=columns)
         frame["doc_id"] = pd.array([r[0] for r in out], "Int64")
         return frame
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids
-    return map_batches(blocks.select("part", "before", "doc_ids", "lengths", "coded"), decode, schema)
+    return map_batches(blocks.select("part", "before", "doc_ids", "no_ids", "lengths", "coded"), decode, schema)
 
 
 def round_trip(docs: DataFrame, path: str, end: int = 2) -> DataFrame:

@@ -19,7 +19,7 @@ def odd(make):
     """Nulls, empty and very long texts, ties, repeated rows, texts of white space, a single very long word."""
     long = " ".join(f"word{i % 977} and{i % 13}." + ("\n" if i % 40 == 0 else "") for i in range(30_000))
     rows = [(1, "one two three four five six seven"), (1, "one two three four five six seven"), (2, None), (3, ""), (None, "one two three four five six seven"), (None, None)]
-    rows += [(4, long), (5, long), (6, " \n\t "), (7, "x" * 50_000), (8, "é" * 300 + " 日本語 \U0001f642 ́"), (-9, "one two three four five six seven"), (2**62, "Z")]
+    rows += [(4, long), (5, long), (6, " \n\t "), (7, "x" * 50_000), (8, "é" * 300 + " 日本語 \U0001f642 ́"), (-9, "one two three four five six seven"), (2**62, "Z"), (2**53 + 1, "one two three four five six seven")]
     return make(rows)
 
 
