@@ -138,13 +138,32 @@ def runs(text: str, core: re.Pattern) -> Iterator[tuple[int, int]]:
         yield start, done
 
 
+def widened(text: str, start: int, end: int) -> tuple[int, int]:
+    """A run with up to two runs on each side that only spaces part from it: an assignment has spaces in two places at most."""
+    for _ in range(2):
+        at = start
+        while at and text[at - 1] == " ":
+            at -= 1
+        if at < start:
+            while at and not text[at - 1].isspace():
+                at -= 1
+            start = at
+        at = end
+        while at < len(text) and text[at] == " ":
+            at += 1
+        if at > end:
+            stop = SPACE.search(text, at)
+            end = stop.start() if stop else len(text)
+    return start, end
+
+
 def decoded(layer: Layer) -> Iterator[tuple[Layer, bool]]:
     """The layers directly below a layer."""
     text = layer.text
     for kind, core, sign in (("url", PERCENT, "%"), ("unicode", ESCAPE, "\\"), ("unicode", ESCAPE, "&#")):
         if sign not in text or sign == "&#" and "\\" in text:
             continue
-        for start, end in runs(text, core):
+        for start, end in dict.fromkeys(x for run in runs(text, core) for x in (run, widened(text, *run))):
             parts = list(pieces(text[start:end], kind))
             inner = "".join(p[0] for p in parts)
             if inner != text[start:end]:

@@ -66,6 +66,19 @@ def test_escapes_map_exactly():
     assert secrets.find("café t\\u006fken=abcdefgh!")[1] == [(5, 0, 24)]
 
 
+def test_key_and_value_parted_by_spaces():
+    """Only one of key and value is escaped, with spaces between them."""
+    cases = ['"password": "\\u0068unter2pass99"', "token: sk%2Dlive%2Dabc123", "api_key = %41bcdef123", "p%61ssword  =  hunter2pass99", "token %3D abcdefgh", "secret : &#104;unter2pass"]
+    cases += ["api_key = %2541bcdef123", "pa%73sword = \\u0068unter2"]
+    for case in cases:
+        for before, after in (("", ""), ("some words ", " and more"), ("x\n", "\ny")):
+            _, spans, _, _ = secrets.find(before + case + after)
+            first = case.startswith('"')
+            last = case.endswith('"')
+            assert (len(before) + first, 0, len(before) + len(case) - last) in spans, case
+    assert secrets.find("token:\n%41bcdef123")[1] == []
+
+
 def test_nothing_to_decode_and_cycles():
     for text in ["", "100% sure %zz", "plain words only Internationalisation", "A" * 5000, "%" * 3000, "z" * 100_000 + "%41", "\\u" * 2000, "%2525252525252525"]:
         assert secrets.find(text)[1] == []
