@@ -79,6 +79,17 @@ def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], fields: Seque
     return out.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col(f"_hot.{f}"), F.col(f"_cold.{f}")).alias(f) for f in fields])
 
 
+def sorted_parts(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` sorted over all in parts of about equal size, in storage, with ``part``, the number of a row's part.
+
+    Rows equal in the whole order are told apart by their place in the input, so they don't all fall to one part.
+    """
+    keys = [*order, "_tie"]
+    placed = df.withColumn("_tie", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).drop("_tie")
+    return materialise(placed.withColumn("part", F.spark_partition_id()))
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b bigint): label is the smallest node of its connected component.
 
