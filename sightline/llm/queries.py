@@ -6,7 +6,7 @@ import importlib
 
 from sightline.llm.registry import ORACLES, QUERIES
 
-OPERATORS = ("exact_dedup", "simhash", "bpe", "token_files", "quality", "line_dedup", "decontaminate", "secrets", "toxicity", "language", "chat_format", "ranked_search")
+OPERATORS = ("exact_dedup", "simhash", "bpe", "token_files", "quality", "line_dedup", "decontaminate", "secrets", "toxicity", "language", "chat_format", "ranked_search", "prefix_trie")
 
 
 def load() -> tuple[dict, dict]:
