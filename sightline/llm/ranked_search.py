@@ -78,7 +78,7 @@ def statistics(docs: DataFrame, code: dict[bytes, int]) -> tuple[int, int, np.nd
     return int(out[size]), int(out[size + 1]), out[:size]
 
 
-def search_block(order: list[list[int]], weight: np.ndarray, place: np.ndarray, doc: np.ndarray, gain: np.ndarray, n_docs: int, ids: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], top: int) -> None:
+def search_block(order: list[list[int]], place: np.ndarray, doc: np.ndarray, gain: np.ndarray, n_docs: int, ids: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], top: int) -> None:
     """Bring ``best``, the (scores, ids) of the ``top`` best documents of each item so far, up to date with a block of documents.
 
     Postings of term t are place[t]:place[t + 1] of ``doc`` and ``gain`` (score). Terms of an item come rarest
@@ -157,7 +157,7 @@ def search_items(docs: DataFrame, texts: list[bytes], top: int = TOP) -> DataFra
             m = 100 - 50 + np.array([(50 * int(x) * n) // total for x in lengths], np.int64)
             gain = weight[term] * ((SCALE * tf) // (1000 * tf + 20 * m[doc]))
             place = np.searchsorted(term, np.arange(len(code) + 1))
-            search_block(order, weight, place, doc, gain, len(ids), np.array(ids, np.int64), best, top)
+            search_block(order, place, doc, gain, len(ids), np.array(ids, np.int64), best, top)
         for lo in range(0, len(order), 1000):
             part = best[lo : lo + 1000]
             yield pd.DataFrame(
