@@ -26,6 +26,19 @@ def texts(docs: DataFrame, *more: Column | str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text, _row): every column of ``docs`` inside one struct, where no name can clash, and what joins need; _row is a hash of the text."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return docs.select(whole, "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id and text are those of a row of ``gone`` (doc_id, row), all columns as they are."""
+    bad = gone.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
+    left = packed(docs).join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left_anti")
+    return left.select("doc.*")
+
+
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
     """``fn`` over Arrow batches; what it returns for a batch is written at once, so memory stays at one batch."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import attach, documents
+from sightline.llm.common import attach, documents, packed
 from sightline.llm.registry import query
 from sightline.plans.storage import materialise
 
@@ -127,17 +127,8 @@ def one_apart(x: Column, y: Column) -> Column:
     return (F.abs(n - m) <= 1) & (cut_x == cut_y)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS, stretches: int = STRETCHES, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """``docs`` with text cut to the lines that stay, and n_lines, n_dropped; every row and column is kept.
-
-    A line of ``min_words`` words or more goes if the same line occurs earlier (by doc_id, nulls last,
-    then place), or, from ``edit_words`` words on, an earlier line that differs by one word inserted,
-    deleted or replaced. Spaces, tabs and carriage returns around a line do not count. Whether the earlier line
-    stays itself does not matter. Rows repeated with the same doc_id and text are one document
-    and keep the same lines. Null texts stay null with no lines; a text may be of any length; columns
-    of ``docs`` named like those added are replaced; an empty table gives an empty result.
-    """
-    docs = docs.drop("n_lines", "n_dropped")
+def cut_lines(docs: DataFrame, min_words: int, edit_words: int, stretches: int, filter_bits: int) -> DataFrame:
+    """(doc, text, n_lines, n_dropped): each row of ``docs`` as a struct, where no column's name can clash, with its text cut to the lines that stay."""
     lines = lines_of(docs, min_words)
     near = near_lines(lines, edit_words, stretches, filter_bits).withColumn("near", F.lit(True))
     # a document's number (nulls last) and a line's place in one number, of which a hash aggregate can keep the least
@@ -149,17 +140,43 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = E
     facts = materialise(facts.select("a", "b", "first", "_n", F.coalesce("near", F.lit(False)).alias("near")))
     seen = attach(placed, facts, ["a", "b"], ["first", "near"], "_n", total, F.xxhash64("doc_id", "pos"))
     gone = seen.where(F.col("near") | (F.col("first") != order))
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), "_row").agg(F.collect_set("pos").alias("_gone"))
-    whole = docs.withColumn("_of", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_row")), "left")
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_of")).agg(F.collect_set("pos").alias("_gone"))
+    out = packed(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_row")), "left")
     split = F.split("text", "\n", -1)
     # a map makes the test for each line cheap in texts of very many lines
     kept = F.filter(split, lambda line, i: ~F.map_contains_key("_map", i))
     out = out.withColumn("_map", F.map_from_entries(F.transform("_gone", lambda p: F.struct(p, F.lit(True)))))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("bigint")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("bigint")).withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.col("n_dropped")).cast("bigint"))
-    return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_dropped")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(split), F.lit(0))).cast("bigint")
+    n_dropped = F.when(F.col("_gone").isNull(), 0).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).cast("bigint")
+    return out.select("doc", text.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS, stretches: int = STRETCHES, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``docs`` with text cut to the lines that stay, and n_lines, n_dropped; every row and column is kept.
+
+    A line of ``min_words`` words or more goes if the same line occurs earlier (by doc_id, nulls last,
+    then place), or, from ``edit_words`` words on, an earlier line that differs by one word inserted,
+    deleted or replaced. Spaces, tabs and carriage returns around a line do not count. Whether the earlier line
+    stays itself does not matter. Rows repeated with the same doc_id and text are one document
+    and keep the same lines. Null texts stay null with no lines; a text may be of any length; columns
+    of ``docs`` named like the two added are replaced, all others come back as they are; an empty table gives an empty result.
+    """
+    cut = cut_lines(docs, min_words, edit_words, stretches, filter_bits)
+    own = [F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return cut.select(*own, "n_lines", "n_dropped")
+
+
+def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS, stretches: int = STRETCHES, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``dedup_lines`` with the columns of ``docs`` alone: rows all of whose lines went are dropped, and n_chars, if there is one, follows the text.
+
+    Null and empty texts stay, as do all rows of which no line went.
+    """
+    cut = cut_lines(docs, min_words, edit_words, stretches, filter_bits)
+    left = cut.where((F.col("n_dropped") == 0) | (F.length(F.trim(F.col("text"), F.lit(" \t\r\n"))) > 0))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None
+    own = {"text": F.col("text"), "n_chars": n_chars}
+    return left.select(*[own[c].alias(c) if c in own else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 # every variant of every line, without the filter, for documents whose doc_id occurs once

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import attach, components, documents, map_batches, partitions, texts
+from sightline.llm.common import attach, components, documents, map_batches, partitions, texts, without
 from sightline.llm.registry import query
 from sightline.plans.storage import materialise
 
@@ -247,8 +247,7 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, width:
     text = F.coalesce("text", F.lit(""))
     groups = near_duplicates(docs.where(F.length(F.trim(text, F.lit(" \t\r\n\x0b\x0c"))) > 0), words, similarity, width, bits, tables)
     gone = groups.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id")))
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_r")), "left_anti")
+    return without(docs, gone)
 
 
 @query("op2_simhash")

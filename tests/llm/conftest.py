@@ -1,5 +1,6 @@
 import pytest
 
+INNER = ("_row", "_of", "_map", "_gone", "_id", "_d", "_r", "row", "doc", "near", "first", "_n", "_salt", "_hot", "item_id", "f0", "node", "label")
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -8,8 +9,8 @@ def make(spark):
     """Documents from (doc_id, text) pairs, with further columns whose names the operators use inside."""
 
     def build(rows, lang="en"):
-        rows = [(d, t, lang, "s", len(t or ""), 1, 2, 3, "x", 5) for d, t in rows]
-        return spark.createDataFrame(rows, COLUMNS + ", a int, b int, pos int, component_id string, n int")
+        rows = [(d, t, lang, "s", len(t or ""), 1, 2, 3, "x", 5, *INNER) for d, t in rows]
+        return spark.createDataFrame(rows, COLUMNS + ", a int, b int, pos int, component_id string, n int, " + ", ".join(f"{x} string" for x in INNER))
 
     return build
 

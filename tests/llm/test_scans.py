@@ -146,3 +146,18 @@ def test_leaks_equal_brute_force_on_the_tables(load):
         want |= {(d, r.item_id) for d, t in texts.items() if f" {inner} " in t}
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
     assert want <= got and len(got) <= len(want) + 3
+
+
+def test_passages_and_windows_without_plain_words(spark, make):
+    """A run of 20 tokens of a long item is found, and items of numbers and names are found as they stand."""
+    long = " ".join(f"palabra{i}" for i in range(80))
+    items = spark.createDataFrame([(1, long), (2, "Compute 17 + 23 - 45 / 6 * 81 = 99"), (3, "Anna Bert Carl Dora Emil Fritz Gerd")], "item_id bigint, text string")
+    part = lambda n: "before it " + " ".join(long.split()[20 : 20 + n]) + " after it"
+    rows = [(1, part(20)), (2, part(19)), (3, "x Compute 17 + 23 - 45 / 6 * 81 = 99 y"), (4, "Compute 18 + 24 - 46 / 7 * 82 = 98"), (5, "so Anna Bert Carl Dora Emil Fritz Gerd met"), (6, "Ute Bert Otto Dora Kurt Fritz Hans")]
+    got = {(r.doc_id, r.item_id) for r in contaminated(make(rows), items).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3)}
+
+
+def test_words_of_any_length(make, items):
+    rows = [(1, "x" * 9_000_000 + " a"), (2, "Z " * 100), (3, "y" * 300)]
+    assert contaminated(make(rows), items).collect() == []
