@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sightline.llm import bpe, decontaminate, line_dedup, quality, simhash
 from sightline.plans.storage import scratch_path
@@ -20,12 +19,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the lines that are no copies of earlier ones; those that consist of copies altogether go. n_chars follows the text."""
-    cut = line_dedup.dedup_lines(docs)
-    gone = (F.col("n_dropped") > 0) & (F.length(F.trim(F.col("text"), F.lit(" \t\r\n"))) == 0)
-    cut = cut.where(~F.coalesce(gone, F.lit(False)))
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).drop("n_lines", "n_dropped")
+    """Documents with the lines that are no copies of earlier ones; those that consist of copies altogether go. n_chars follows the text.
+
+    Null and empty texts stay; other columns, whatever their names, come back as they are; an empty table stays empty.
+    """
+    return line_dedup.drop_repeats(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
