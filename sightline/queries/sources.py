@@ -124,7 +124,40 @@ def _(spark, sf):
     return fuzzy.find_fuzzy_duplicates(table(spark, sf, "documents"), "doc_id", ["text"], 0.85)
 
 
-@query("fuzzy_parts")
+# every pair of distinct texts by the length table of common subsequences, row by row, then the leaders in order
+LEADERS = """WITH RECURSIVE e AS (SELECT text, min(key) AS key, row_number() OVER (ORDER BY min(key)) AS i, string_split(text, '') AS c FROM t GROUP BY text),
+    dp AS (
+        SELECT a.i AS ai, b.i AS bi, a.c AS ac, b.c AS bc, 0 AS k, list_transform(range(len(b.c) + 1), lambda x: 0::BIGINT) AS l
+        FROM e a JOIN e b ON b.i < a.i AND 2.0 * least(len(a.c), len(b.c)) >= 0.85 * (len(a.c) + len(b.c))
+        UNION ALL
+        SELECT ai, bi, ac, bc, k + 1, list_transform(range(1, len(l) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda x: CASE WHEN x > 1 AND bc[x - 1] = ac[k + 1] THEN l[x - 1] + 1 ELSE l[x] END)))
+        FROM dp WHERE k < len(ac)),
+    m AS (SELECT ai, bi, 2.0 * l[len(l)] / (len(ac) + len(bc)) AS s FROM dp WHERE k = len(ac) AND 2.0 * l[len(l)] / (len(ac) + len(bc)) >= 0.85),
+    adj AS (SELECT i, coalesce((SELECT list(bi) FROM m WHERE ai = i), []) AS near FROM e),
+    lead(n, leaders) AS (
+        SELECT 0::BIGINT, []::BIGINT[]
+        UNION ALL SELECT n + 1, CASE WHEN list_has_any(leaders, near) THEN leaders ELSE list_append(leaders, i) END FROM lead JOIN adj ON i = n + 1),
+    last AS (SELECT leaders FROM lead ORDER BY n DESC LIMIT 1),
+    own AS (SELECT i, CASE WHEN list_contains(leaders, i) THEN i ELSE list_min(list_intersect(leaders, near)) END AS li FROM adj, last),
+    g AS (SELECT h.key AS leader, t.key AS member, coalesce(m.s, 1.0)::DOUBLE AS similarity, t.text
+          FROM t JOIN e USING (text) JOIN own USING (i) JOIN e h ON h.i = own.li LEFT JOIN m ON m.ai = own.i AND m.bi = own.li)
+    """
+
+
+@query(
+    "fuzzy_names",
+    LEADERS.replace("WITH RECURSIVE ", "WITH RECURSIVE t AS (SELECT p_partkey AS key, p_name AS text FROM part), ") + """SELECT leader, member, round(similarity, 6) AS similarity FROM g
+    WHERE leader IN (SELECT leader FROM g GROUP BY leader HAVING count(*) > 1)""",
+)
+def _(spark, sf):
+    return fuzzy.find_fuzzy_duplicates(table(spark, sf, "part"), "p_partkey", ["p_name"], 0.85)
+
+
+@query(
+    "fuzzy_parts",
+    LEADERS.replace("WITH RECURSIVE ", "WITH RECURSIVE t AS (SELECT p_partkey AS key, p_name || ' | ' || p_type AS text FROM part), ") + """SELECT leader, count(*) AS size, (list(text ORDER BY member))[1:3] AS samples FROM g
+    GROUP BY leader HAVING count(*) > 1""",
+)
 def _(spark, sf):
     parts = table(spark, sf, "part")
     groups = fuzzy.find_fuzzy_duplicates(parts, "p_partkey", ["p_name", "p_type"], 0.85)
