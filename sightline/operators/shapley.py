@@ -11,6 +11,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.tree_shapley import tree_shapley
+
 #: Background rows unless the caller says otherwise; the result's std_error shows what more would bring.
 BACKGROUND_ROWS = 100
 
@@ -112,9 +114,15 @@ def base_value(model: Model, background: DataFrame, class_index: int | None = No
 def explain(
     model: Model, prepared, column: str = "raw", class_index: int | None = None, seed: int = 42, background_rows: int = BACKGROUND_ROWS, explained: DataFrame | None = None
 ) -> tuple[DataFrame, float]:
-    """Values for all test rows, or those given, against ``background_rows`` seeded training rows, and the base value."""
+    """Values for all test rows, or those given, and the base value.
+
+    Trees and sums of trees are explained exactly; other models against ``background_rows`` seeded training rows.
+    """
+    rows = prepared.test if explained is None else explained
+    if hasattr(model, "treeWeights") or hasattr(model, "depth"):
+        return tree_shapley(model, rows, prepared.features, column, class_index)
     background = sample_by_hash(prepared.train, background_rows, seed)
-    values = permutation_shapley(model, background, prepared.test if explained is None else explained, prepared.features, column, class_index, seed)
+    values = permutation_shapley(model, background, rows, prepared.features, column, class_index, seed)
     return values, base_value(model, background, class_index)
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from sightline.operators import clusters, models, neighbours, readiness, shapley
+from sightline.operators import clusters, models, neighbours, readiness, shapley, tree_shapley
 from sightline.queries.registry import query, table, view
 
 # ---------------------------------------------------------------- readiness
@@ -253,6 +254,57 @@ def _(spark, sf):
     return values.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs"), F.count("*").alias("n"))
 
 
+# a regression tree of depth 2 on two columns: each split is the midpoint between neighbouring values that leaves the least squares
+SPLIT = """SELECT s, f, (v + nxt) / 2 AS cut FROM (
+        SELECT s, f, v, lead(v) OVER w AS nxt, sum(n) OVER w AS ln, sum(t) OVER w AS lt, sum(n) OVER p AS total_n, sum(t) OVER p AS total_t
+        FROM (SELECT s, f, v, count(*) AS n, sum(y) AS t FROM (SELECT s, 0 AS f, x1 AS v, y FROM {rows} UNION ALL SELECT s, 1, x2, y FROM {rows}) GROUP BY s, f, v)
+        WINDOW w AS (PARTITION BY s, f ORDER BY v), p AS (PARTITION BY s, f))
+    WHERE nxt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s ORDER BY lt * lt / ln + (total_t - lt) * (total_t - lt) / (total_n - ln) DESC) = 1"""
+TREE = f"""t AS (SELECT l_quantity AS x1, l_discount AS x2, l_quantity * 0.1 + 40 * l_discount + l_quantity * l_discount + (l_partkey % 17 - 8) * 0.01 AS y FROM lineitem),
+    r0 AS (SELECT 0 AS s, * FROM t), s0 AS ({SPLIT.format(rows="r0")}),
+    r1 AS (SELECT CASE WHEN CASE WHEN f = 0 THEN x1 ELSE x2 END <= cut THEN 1 ELSE 2 END AS s, f AS f0, cut AS cut0, x1, x2, y FROM t, s0), s1 AS ({SPLIT.format(rows="r1")}),
+    r2 AS (SELECT r1.s, CASE WHEN CASE WHEN f = 0 THEN x1 ELSE x2 END <= cut THEN 0 ELSE 1 END AS e, f0, cut0, f, cut, x1, x2, y FROM r1 JOIN s1 USING (s)),
+    lv AS (
+        SELECT s, e, f0, f, any_value(cut0) AS cut0, any_value(cut) AS cut, avg(y) AS v, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY s) AS z1, sum(count(*)) OVER (PARTITION BY s)::DOUBLE / sum(count(*)) OVER () AS z0
+        FROM r2 GROUP BY s, e, f0, f),
+    leaf AS (SELECT *, CASE WHEN f0 = 0 THEN z0 ELSE 1 END * CASE WHEN f = 0 THEN z1 ELSE 1 END AS za, CASE WHEN f0 = 1 THEN z0 ELSE 1 END * CASE WHEN f = 1 THEN z1 ELSE 1 END AS zb FROM lv),
+    xs AS (SELECT DISTINCT x1, x2 FROM t),
+    met AS (SELECT x1, x2, v, za, zb, (CASE WHEN f0 = 0 THEN x1 ELSE x2 END <= cut0) = (s = 1) AS k0, (CASE WHEN f = 0 THEN x1 ELSE x2 END <= cut) = (e = 0) AS k1, f0, f FROM xs, leaf),
+    o AS (SELECT *, CASE WHEN (f0 <> 0 OR k0) AND (f <> 0 OR k1) THEN 1.0 ELSE 0.0 END AS oa, CASE WHEN (f0 <> 1 OR k0) AND (f <> 1 OR k1) THEN 1.0 ELSE 0.0 END AS ob FROM met),
+    phi AS (SELECT x1, x2, sum(v * (oa - za) * (ob + zb) / 2) AS a, sum(v * (ob - zb) * (oa + za) / 2) AS b, sum(v * oa * ob) AS prediction, sum(v * za * zb) AS base FROM o GROUP BY x1, x2)"""
+
+
+def _small_tree(spark, sf):
+    li = table(spark, sf, "lineitem")
+    y = F.col("l_quantity") * 0.1 + 40 * F.col("l_discount") + F.col("l_quantity") * F.col("l_discount") + (F.col("l_partkey") % 17 - 8) * 0.01
+    rows = li.select(F.monotonically_increasing_id().alias("id"), "l_quantity", "l_discount", y.alias("label"))
+    rows = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="raw").transform(rows)
+    model = DecisionTreeRegressor(featuresCol="raw", labelCol="label", maxDepth=2, maxBins=64).fit(rows)
+    return tree_shapley.tree_shapley(model, rows, ["l_quantity", "l_discount"])
+
+
+@query(
+    "shap_tree",
+    f"WITH {TREE} SELECT feature, x AS feature_value, round(min(v), 6) AS lowest, round(max(v), 6) AS highest, CAST(sum(n) AS BIGINT) AS n FROM ("
+    "SELECT 'l_quantity' AS feature, x1 AS x, a AS v, n FROM phi JOIN (SELECT x1, x2, count(*) AS n FROM t GROUP BY x1, x2) USING (x1, x2) "
+    "UNION ALL SELECT 'l_discount', x2, b, n FROM phi JOIN (SELECT x1, x2, count(*) AS n FROM t GROUP BY x1, x2) USING (x1, x2)) GROUP BY feature, x",
+)
+def _(spark, sf):
+    values, _ = _small_tree(spark, sf)
+    return values.groupBy("feature", "feature_value").agg(F.min("shap_value").alias("lowest"), F.max("shap_value").alias("highest"), F.count("*").alias("n"))
+
+
+@query(
+    "shap_row",
+    f"WITH {TREE}, one AS (SELECT * FROM phi ORDER BY x1, x2 LIMIT 1) SELECT round(base, 6) AS base_value, round(prediction, 6) AS prediction, feature, round(v, 6) AS shap_value, x AS feature_value, "
+    "CASE WHEN v > 0 THEN 'increases' ELSE 'decreases' END AS direction FROM (SELECT base, prediction, 'l_quantity' AS feature, a AS v, x1 AS x FROM one UNION ALL SELECT base, prediction, 'l_discount', b, x2 FROM one)",
+)
+def _(spark, sf):
+    values, base = _small_tree(spark, sf)
+    first = values.groupBy("id").agg(F.max(F.when(F.col("feature") == "l_quantity", F.col("feature_value"))).alias("a"), F.max(F.when(F.col("feature") == "l_discount", F.col("feature_value"))).alias("b"))
+    return shapley.shapley_row(values, first.orderBy("a", "b", "id").first()["id"], base)
+
+
 @query("shap_model")
 def _(spark, sf):
     p = models.prepare(_labels(spark, sf), "quality", ["doc_id"])
