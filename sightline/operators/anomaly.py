@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import nan_to_null, numeric_columns, quoted, require
-from sightline.operators.neighbours import nearest_neighbours
+from sightline.operators.neighbours import nearest_neighbours, with_facts
 from sightline.plans.longform import aggregate_rows, spread
 from sightline.plans.ranks import quantiles
 from sightline.plans.storage import materialise
@@ -105,14 +105,32 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 def _sample_per_tree(z: DataFrame, names: Sequence[str], key: Sequence[str], rows: int, trees: int, size: int, seed: int) -> DataFrame:
-    """About ``size`` rows for every tree: each row is drawn for each tree by a seeded hash, at every table size."""
+    """About ``size`` rows for every tree, at every table size.
+
+    How many trees draw a row is a binomial number, looked up from one seeded hash of its key; which ones is
+    a walk of that many steps round them. So a row costs two hashes, whether it is drawn or not.
+    """
     share = min(1.0, size / max(rows, 1))
     id_columns = [quoted(k) for k in key]
-    chosen = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(*id_columns, t, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40) < share,
-    )
-    return z.select(*names, F.explode(chosen).alias("tree")).select("tree", *names)
+    # P(number <= m) for m = 0, 1, ...
+    upto, total = [], 0.0
+    for m in range(trees + 1):
+        if share >= 1.0:
+            total = 1.0 if m == trees else 0.0
+        else:
+            total += math.exp(math.lgamma(trees + 1) - math.lgamma(m + 1) - math.lgamma(trees - m + 1) + m * math.log(share) + (trees - m) * math.log1p(-share))
+        upto.append(min(1.0, total))
+    upto[-1] = 1.0
+    u = F.pmod(F.xxhash64(*id_columns, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    drawn = z.select(*names, *id_columns, u.alias("_u")).where(F.col("_u") >= upto[0])
+    limits = F.array(*[F.lit(p) for p in upto])
+    many = F.size(F.filter(limits, lambda p: p <= F.col("_u")))
+    # a walk round the trees by a step without a common divisor meets each once at most
+    steps = F.array(*[F.lit(i) for i in range(1, trees + 1) if math.gcd(i, trees) == 1])
+    h = F.xxhash64(*id_columns, F.lit(seed), F.lit(1))
+    picked = drawn.withColumn("_m", many).withColumn("_at", F.pmod(h, F.lit(trees))).withColumn("_step", F.get(steps, F.pmod(F.shiftright(h, 20), F.size(steps))))
+    walk = F.transform(F.sequence(F.lit(1), F.col("_m")), lambda i: F.pmod(F.col("_at") + i * F.col("_step"), F.lit(trees)).cast("int"))
+    return picked.select(*names, F.explode(walk).alias("tree")).select("tree", *names)
 
 
 def isolation_scores(
@@ -190,12 +208,10 @@ def lof_scores(
     rows = points.count()
     near = materialise(nearest_neighbours(points, points, min(k, rows - 1), exclude_self=True))
     reach = near.groupBy("id").agg(F.max("distance").alias("_kd"))
-    pairs = near.join(reach.select(F.col("id").alias("neighbour"), "_kd"), "neighbour")
-    density = pairs.groupBy("id").agg(
-        (1.0 / (F.avg(F.greatest("distance", "_kd")) + 1e-10)).alias("lrd")
-    )
+    pairs = with_facts(near, reach, ["_kd"])
+    density = materialise(pairs.groupBy("id").agg((1.0 / (F.avg(F.greatest("distance", "_kd")) + 1e-10)).alias("lrd")))
     factor = (
-        near.join(density.select(F.col("id").alias("neighbour"), F.col("lrd").alias("_nl")), "neighbour")
+        with_facts(near, density.withColumnRenamed("lrd", "_nl"), ["_nl"])
         .groupBy("id")
         .agg(F.avg("_nl").alias("_nl"))
         .join(density, "id")

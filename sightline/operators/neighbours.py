@@ -1,8 +1,9 @@
 """Exact nearest neighbours, and the k-NN models built on them.
 
-A small set of points is broadcast after its size is counted. Otherwise space is
-cut into the cells of sampled pivots: each query searches its own cell, and the
-distance found there rules out every cell that lies farther away.
+Space is cut into the cells of sampled pivots, at every size of the table. Each query first meets
+its own cell, block by block; the k-th distance found there rules out every cell that lies
+farther away, and from the others only points within it come back. Equal points count once for
+what they can add to a result.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.plans.lookup import attach
+from sightline.plans.ranks import bucket_count
 from sightline.plans.storage import materialise
 
 # Points one task holds at a time.
@@ -32,28 +35,27 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(gap, 0.0))
 
 
-def _closest(ids, a, others, b, k: int, exclude_self: bool, metric: str) -> pd.DataFrame:
-    """The k closest of ``b`` for each row of ``a``; distances of the finalists are taken directly."""
-    out_q, out_p, out_d = [], [], []
+def _closest(ids, a, bound, others, b, k: int, exclude_self: bool, metric: str) -> pd.DataFrame:
+    """The k closest of ``b`` for each row of ``a`` within its bound, ties by id; distances of the finalists are taken directly."""
+    out = []
     for start in range(0, len(a), 1000):
-        q, qid = a[start : start + 1000], ids[start : start + 1000]
+        q, qid, most = a[start : start + 1000], ids[start : start + 1000], bound[start : start + 1000]
         d = _distances(q, b, metric)
         if exclude_self:
             d[qid[:, None] == others[None, :]] = np.inf
-        spare = min(k + 8, d.shape[1])
-        finalists = np.argpartition(d, spare - 1, axis=1)[:, :spare] if spare < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(q), 1))
-        gap = q[:, None, :] - b[finalists]
-        exact = np.abs(gap).sum(2) if metric == "manhattan" else np.sqrt((gap * gap).sum(2))
-        exact[~np.isfinite(np.take_along_axis(d, finalists, 1))] = np.inf
-        names = others[finalists]
-        order = np.lexsort((names, exact), axis=1)[:, :k]
-        out_q.append(np.repeat(qid, order.shape[1]))
-        out_p.append(np.take_along_axis(names, order, 1).ravel())
-        out_d.append(np.take_along_axis(exact, order, 1).ravel())
-    if not out_q:
-        return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-    out = pd.DataFrame({"id": np.concatenate(out_q), "neighbour": np.concatenate(out_p), "distance": np.concatenate(out_d)})
-    return out[np.isfinite(out["distance"])]
+        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        # all that can tie with the k-th, however many
+        row, col = np.nonzero((d <= (last + 1e-6 * (1 + last))[:, None]) & np.isfinite(d))
+        gap = q[row] - b[col]
+        exact = np.abs(gap).sum(1) if metric == "manhattan" else np.sqrt((gap * gap).sum(1))
+        near = exact <= most[row]
+        row, col, exact = row[near], col[near], exact[near]
+        order = np.lexsort((others[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        starts = np.searchsorted(row, np.arange(len(q)))
+        first = np.arange(len(row)) - starts[row] < k if len(row) else np.empty(0, bool)
+        out.append(pd.DataFrame({"id": qid[row[first]], "neighbour": others[col[first]], "distance": exact[first]}))
+    return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "distance": []})
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -80,28 +82,19 @@ def nearest_neighbours(
         f"neighbour {points.schema['id'].dataType.simpleString()}, distance double"
     )
     rows = points.count()
-    if rows <= block:
-        found = _against_all(queries, points, k, exclude_self, metric, schema)
-    else:
-        found = _by_cells(queries, points, rows, k, exclude_self, metric, block, schema)
+    if not rows:
+        return queries.sparkSession.createDataFrame([], schema + ", place int")
+    found = _by_cells(queries, points, rows, k, exclude_self, metric, block, schema)
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _against_all(queries, points, k, exclude_self, metric, schema) -> DataFrame:
-    """Every query against a broadcast set of at most one block."""
-    local = points.toPandas()
-    if local.empty:
-        return queries.sparkSession.createDataFrame([], schema)
-    shared = queries.sparkSession.sparkContext.broadcast((local["id"].to_numpy(), _matrix(local["v"])))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        others, b = shared.value
-        for batch in batches:
-            if len(batch):
-                yield _closest(batch["id"].to_numpy(), _matrix(batch["v"]), others, b, k, exclude_self, metric)
-
-    return queries.select("id", "v").mapInPandas(search, schema)
+def with_facts(near: DataFrame, facts: DataFrame, fields: list[str]) -> DataFrame:
+    """``near`` with ``fields`` of each neighbour's row in ``facts`` (id first); a point may be the neighbour of any share of the rows."""
+    asked = near.groupBy("neighbour").agg(F.count("*").alias("count"))
+    known = asked.join(facts.select(F.col("id").alias("neighbour"), *fields), "neighbour")
+    known = known.select(F.col("neighbour").alias("value"), "count", F.lit(near.count()).alias("n"), *fields)
+    return attach(near, F.col("neighbour"), known, fields, bucket_count(near))
 
 
 def _by_cells(queries, points, rows, k, exclude_self, metric, block, schema) -> DataFrame:
@@ -128,11 +121,11 @@ def _by_cells(queries, points, rows, k, exclude_self, metric, block, schema) ->
     placed = points.withColumn("slice", F.pmod(F.xxhash64("id"), slice_of).cast("int"))
 
     def meet(asks: DataFrame) -> DataFrame:
-        """Queries (id, v, cell, bound) against the points of that cell, slice by slice."""
+        """Queries (id, v, cell, bound) against the points of that cell, slice by slice; only points within the bound come back."""
         counts = {r["cell"]: math.ceil(r["n"] / block) for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}
         parts = F.get(F.array(*[F.lit(int(counts.get(c, 1))) for c in range(len(slices))]), F.col("cell"))
         left = asks.select(
-            "id", "v", "cell",
+            "id", "v", "cell", "bound",
             F.explode(F.sequence(F.lit(0), slice_of - 1)).alias("slice"),
             F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int").alias("part"),
         )
@@ -141,12 +134,12 @@ def _by_cells(queries, points, rows, k, exclude_self, metric, block, schema) ->
         def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
                 return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-            return _closest(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), k, exclude_self, metric)
+            return _closest(a["id"].to_numpy(), _matrix(a["v"]), a["bound"].to_numpy(float), b["id"].to_numpy(), _matrix(b["v"]), k, exclude_self, metric)
 
         where = ["cell", "slice", "part"]
         return left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(search, schema)
 
-    first = materialise(meet(queries))
+    first = materialise(meet(queries.withColumn("bound", F.lit(float("inf")))))
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     bound = (
         first.withColumn("p", place).where(F.col("p") == k).select("id", F.col("distance").alias("bound"))
@@ -165,13 +158,13 @@ def _by_cells(queries, points, rows, k, exclude_self, metric, block, schema) ->
         return pd.Series([np.flatnonzero(row).astype("int32") for row in open_cells])
 
     asks = queries.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    asks = materialise(asks.select("id", "v", F.explode(others("v", "cell", "bound")).alias("cell")))
+    asks = materialise(asks.select("id", "v", "bound", F.explode(others("v", "cell", "bound")).alias("cell")))
     return first.unionByName(meet(asks))
 
 
 def vote(near: DataFrame, labels: DataFrame, classify: bool = True, weights: str = "uniform") -> DataFrame:
     """(id, prediction) from neighbours and the points' (id, label): majority, smallest on a tie, or mean."""
-    joined = near.join(labels.select(F.col("id").alias("neighbour"), "label"), "neighbour")
+    joined = with_facts(near, labels, ["label"]).where(F.col("label").isNotNull())
     w = F.lit(1.0) if weights == "uniform" else 1.0 / (F.col("distance") + 1e-12)
     if not classify:
         return joined.groupBy("id").agg((F.sum(F.col("label") * w) / F.sum(w)).alias("prediction"))
