@@ -228,3 +228,24 @@ def test_lines_hot_line_in_a_third_of_rows(make):
     rows = [(i, f"{hot}\nown line {i} with quite some words {i * 7}" if i % 3 == 0 else f"plain {i} text of row {i} only once {i}") for i in range(600)]
     got = {r.doc_id: r for r in dedup_lines(make(rows)).collect()}
     assert got[0].n_dropped == 0 and all(got[i].n_dropped == 1 for i in range(3, 600, 3)) and all(got[i].n_dropped == 0 for i in range(1, 600, 3))
+
+
+def test_links_are_exact_and_recall_is_measured(make):
+    """200 single pairs at each similarity: none linked at 0.7, nearly all at 0.8 and at 0.9; a group of copies with one edit each is whole."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"x{rng.getrandbits(40)}" for _ in range(n)]
+    rows, level = [], {}
+    for shared, own, name in ((280, 60, 0.7), (320, 40, 0.8), (360, 20, 0.9)):
+        for _ in range(200):
+            start = fresh(shared + 4)  # so many shingles in common, and so many of its own on either side
+            level[len(rows)] = name
+            rows += [(len(rows), " ".join(start + fresh(own))), (len(rows) + 1, " ".join(start + fresh(own)))]
+    base, first = fresh(300), len(rows)
+    for k in range(300):
+        copy = list(base)
+        copy[rng.randrange(300)] = f"e{k}"
+        rows.append((len(rows), " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(make(rows)).collect()}
+    linked = {name: sum(got[d + 1] == d for d, x in level.items() if x == name) for name in (0.7, 0.8, 0.9)}
+    assert linked[0.7] == 0 and linked[0.8] >= 190 and linked[0.9] >= 198, linked
+    assert {got[d] for d in range(first, len(rows))} == {first}
