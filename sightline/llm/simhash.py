@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ SEED = 42
 TREE = 4096
 ROWS_A_TASK = 50_000
 FRONTIER = 4_000_000
+#: Bits of the filter that tells common shingles; it is 2 MB and broadcast.
+COMMON_BITS = 1 << 24
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -199,7 +201,7 @@ def links(points: DataFrame, masks: Sequence[tuple[int, ...]], radius: int, tree
 
 
 def meetings(points: DataFrame, masks: Sequence[tuple[int, ...]], find: Callable[[Forest, pd.DataFrame], pd.DataFrame], schema: str, tree: int = TREE) -> DataFrame:
-    """What ``find`` makes of the trees over each shard of ``points`` (node, f0 ..., perhaps label), each point once.
+    """What ``find`` makes of the trees over each shard of ``points`` (node, f0 ...), each point once.
 
     A shard is the points that agree under one mask. Its tree goes to the tasks that search it by
     a shuffle: a tree over all fingerprints has no size bound that would let it be broadcast. A
@@ -207,10 +209,9 @@ def meetings(points: DataFrame, masks: Sequence[tuple[int, ...]], find: Callable
     task holds more than two parts at once.
     """
     spark = points.sparkSession
-    more = [c for c in points.columns if c in ("node", "label")]
-    fs = [c for c in points.columns if c not in more]
+    fs = [c for c in points.columns if c != "node"]
     keys = F.array(*[F.xxhash64(F.lit(t), *[F.col(f).bitwiseAND(F.lit(signed(m))) for f, m in zip(fs, mask)]) for t, mask in enumerate(masks)])
-    rows = points.select(*more, *fs, F.explode(keys).alias("shard"))
+    rows = points.select("node", *fs, F.explode(keys).alias("shard"))
     total = points.count() * len(masks)
     large = rows.groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > tree)
     rows = attach(rows, large, ["shard"], ["_n"], "_n", total, F.col("node"))
@@ -221,7 +222,7 @@ def meetings(points: DataFrame, masks: Sequence[tuple[int, ...]], find: Callable
     rows = rows.where((F.col("_parts") == 1) | (F.col("_parts") == 2) & (F.col("_other") == 0) | (F.col("_parts") > 2) & (F.col("_mine") != F.col("_other")))
     unit = F.when(F.col("_parts") <= 2, F.col("shard")).otherwise(F.xxhash64("shard", F.least("_mine", "_other"), F.greatest("_mine", "_other")))
     buckets = max(4 * partitions(spark), -(-total // ROWS_A_TASK))
-    rows = rows.select(*more, *fs, unit.alias("unit")).withColumn("bucket", F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(buckets)))
+    rows = rows.select("node", *fs, unit.alias("unit")).withColumn("bucket", F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(buckets)))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["unit", "node"], kind="stable")
@@ -272,6 +273,44 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where((least >= similarity * most) & (shared >= similarity * (F.size("_x") + F.size("_y") - shared) - 1e-9)).select("a", "b")
 
 
+def may_be_alike(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different label in ``sets`` (node, label, shingles) that can reach the similarity.
+
+    In any order of all shingles, two sets that reach it share one of the first n - ceil(similarity n) + 1 of each.
+    Here those seen in fewer than three texts come first (a bit array of a fixed size tells them), so texts around one
+    passage, or far copies of one text, first meet at a place from which on too little is left, and are not compared.
+    """
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
+    spot = F.pmod("s", F.lit(COMMON_BITS))
+    words = counts.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))).alias("bits"))
+    bits = np.zeros(COMMON_BITS // 64, np.int64)
+    for r in words.collect():  # COMMON_BITS / 64 rows at most
+        bits[r["at"]] = r["bits"]
+    shared = sets.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for own in rows["shingles"]:
+                own = np.sort(np.asarray(own, np.int64))
+                at = own & (COMMON_BITS - 1)
+                common = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+                out.append(own[np.argsort(common, kind="stable")][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
+            sizes = [len(x) for x in out]
+            if sum(sizes):
+                n = rows["shingles"].map(len).to_numpy()
+                yield pd.DataFrame({"node": np.repeat(rows["node"].to_numpy(), sizes), "label": np.repeat(rows["label"].to_numpy(), sizes), "n": np.repeat(n, sizes), "p": np.concatenate([np.arange(k) for k in sizes]), "s": np.concatenate(out)})
+
+    rows = materialise(sets.mapInPandas(first, "node bigint, label bigint, n bigint, p bigint, s bigint"))
+    mixed_ = rows.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
+    rows = materialise(rows.join(mixed_, "s"))
+    one, two = rows.toDF("s", "a", "la", "na", "pa"), rows.toDF("s", "b", "lb", "nb", "pb")
+    # at the first shingle that two sets share, what either has from there on is all that they can have in common
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    close = (left >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))
+    return one.join(two, "s").where(close).select("a", "b").distinct()
+
+
 def samples_for(points: int, width: int) -> list[tuple[int, ...]]:
     """Bit samples for so many points: a shard stays at about 16 unrelated ones, and a pair that differs in 15 % of its bits meets with the same chance."""
     bits = max(14, math.ceil(math.log2(max(2, points))) - 4)
@@ -283,8 +322,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
 
     SimHashes propose and the shingles decide. Fingerprints have 64 x ``width`` bits, repeats of shingles
     count in them; they meet under samples of bits and are searched by trees within a radius of a quarter of the
-    bits. First each text is compared with the closest two that it meets. Then only pairs between different groups
-    that were not compared yet remain, all of which are; so a group of copies is not paired with itself.
+    bits. First each text is compared with the closest two that it meets. Among all texts that met any, pairs of different groups
+    that can still reach the similarity are then compared as well; so a group of copies is not paired with itself.
     Every link is exact; of the pairs at 0.8, 98 % are found, of those at 0.9 all but one in a thousand. row is a
     hash of the text. Null and empty texts are one group; repeated rows and ties go to the smallest doc_id; rows without a doc_id get the
     smallest id of their group, or null if there is none; an empty table gives an empty result; extra columns are not read.
@@ -301,16 +340,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
         a, b, d = forest.nearest(radius)
         return pd.DataFrame({"a": node[a], "b": node[b], "d": d})
 
-    def across(forest: Forest, group: pd.DataFrame) -> pd.DataFrame:
-        node, label = group["node"].to_numpy(), group["label"].to_numpy()
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for piece in forest.pieces():
-            for x, y in forest.within(piece, radius):
-                on = (label[x] != label[y]) & (node[x] < node[y])
-                a.append(node[x[on]])
-                b.append(node[y[on]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-
     ordered = lambda t: t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = meetings(points.select("node", *fs), masks, closest, "a bigint, b bigint, d bigint").distinct()
     place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))  # a row for each mask at most
@@ -318,10 +347,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     known = tried.select(F.col("a").alias("node")).union(met.select("a")).distinct()
     sets = materialise(shingle_sets(docs, points.join(known, "node").select("node", "first"), words))
     found = materialise(alike(tried, sets, similarity))
-    labels = components(found)
-    # the points that met any other are all that can still be linked
-    open_ = points.join(known, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = ordered(meetings(materialise(open_.select("node", "label", *fs)), masks, across, "a bigint, b bigint")).join(tried, ["a", "b"], "left_anti")
+    grouped = sets.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = may_be_alike(grouped.select("node", "label", "shingles"), similarity).join(tried, ["a", "b"], "left_anti")
     found = materialise(found.unionByName(alike(rest, sets, similarity)))
     labels = materialise(components(found))
     nodes = materialise(points.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "first", "copies", "label"))
