@@ -27,9 +27,9 @@ def texts(docs: DataFrame, *more: Column | str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text, _row): every column of ``docs`` inside one struct, where no name can clash, and what joins need; _row is a hash of the text."""
+    """(doc, doc_id, _row): every column of ``docs`` inside one struct, where no name can clash, and what joins need; _row is a hash of the text."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    return docs.select(whole, "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
+    return docs.select(whole, "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

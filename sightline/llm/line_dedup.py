@@ -141,7 +141,7 @@ def cut_lines(docs: DataFrame, min_words: int, edit_words: int, stretches: int,
     seen = attach(placed, facts, ["a", "b"], ["first", "near"], "_n", total, F.xxhash64("doc_id", "pos"))
     gone = seen.where(F.col("near") | (F.col("first") != order))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_of")).agg(F.collect_set("pos").alias("_gone"))
-    out = packed(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_row")), "left")
+    out = packed(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_row")), "left").withColumn("text", F.col("doc.text"))
     split = F.split("text", "\n", -1)
     # a map makes the test for each line cheap in texts of very many lines
     kept = F.filter(split, lambda line, i: ~F.map_contains_key("_map", i))
