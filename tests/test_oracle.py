@@ -1,5 +1,7 @@
 """Every registered query beside its SQL check at the smallest scale."""
 
+import sys
+
 import pytest
 
 import __spark_entry__ as spark_entry
@@ -26,6 +28,13 @@ def test_query(spark, con, sf, name):
     assert status in ("ok", "close", "rows-only"), note
 
 
+def test_registry_without_the_subpackage(monkeypatch):
+    """Something that the subpackage needs is missing: the library's own queries are all there."""
+    monkeypatch.setitem(sys.modules, "sightline.llm.queries", None)
+    names = spark_entry.queries()
+    assert len(names) > 190 and not any(n.startswith("op") and n[2].isdigit() for n in names) and "pipeline" not in names
+
+
 def test_entry(spark):
     out = spark_entry.entry(spark)
     assert {r["dimension"] for r in out.collect()} >= {"completeness", "overall"}
