@@ -39,7 +39,7 @@ from sightline.plans.longform import (
     most_common,
     value_counts,
 )
-from sightline.plans.ranks import quantiles, selected_quantiles, value_ranks
+from sightline.plans.ranks import counted_values, quantiles, selected_quantiles, value_moments, value_ranks
 
 CATEGORY_LIMIT = 20
 CATEGORY_RATIO = 0.05
@@ -178,38 +178,24 @@ def _fixed_category(df: DataFrame, name: str) -> str | None:
 
 
 def describe_numeric(df: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """count, mean, std, min, q1, median, q3, max, range, iqr, skewness, kurtosis, mode per numeric column."""
+    """count, mean, std, min, q1, median, q3, max, range, iqr, skewness, kurtosis, mode per numeric column.
+
+    Runs at once unless ``accuracy`` asks for the quantile sketch; a column without values has count 0 and nulls.
+    """
     df = nan_to_null(df)
     cols = numeric_columns(df)
-    df = df.select(*[quoted(c).cast("double").alias(c) for c in cols])
-    base = aggregate_rows(
-        df,
-        [
-            [
-                F.lit(c).alias("column"),
-                F.count(quoted(c)).alias("count"),
-                F.avg(quoted(c)).alias("mean"),
-                F.stddev_samp(quoted(c)).alias("std"),
-                F.min(quoted(c)).alias("min"),
-                F.max(quoted(c)).alias("max"),
-                sample_skewness(quoted(c)).alias("skewness"),
-                sample_kurtosis(quoted(c)).alias("kurtosis"),
-            ]
-            for c in cols
-        ],
-    )
+    # everything comes from one table of counted values; the rows themselves are read once
+    values = value_ranks(df, cols) if accuracy is None else counted_values(df, cols)
     probs = [0.25, 0.5, 0.75]
-    # one table of ranked values gives both
-    ranks = value_ranks(df, cols)
-    common = F.broadcast(ranks.groupBy("column").agg(most_common().alias("mode")))
-    picked = selected_quantiles(ranks, probs) if accuracy is None else quantiles(df, cols, probs, accuracy=accuracy)
-    order = picked.join(common, "column")
+    picked = selected_quantiles(values, probs) if accuracy is None else quantiles(df, cols, probs, accuracy=accuracy)
     q = [F.col("q")[i] for i in range(3)]
+    found = value_moments(values).join(F.broadcast(picked), "column")
     return (
-        base.join(F.broadcast(order), "column", "left")
+        column_names(df, cols)
+        .join(F.broadcast(found), "column", "left")
         .select(
             "column",
-            "count",
+            F.coalesce("count", F.lit(0).cast("bigint")).alias("count"),
             "mean",
             "std",
             "min",

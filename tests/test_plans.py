@@ -27,9 +27,9 @@ def skewed():
     return pd.DataFrame({"x": x, "y": rng.integers(0, 50, len(x)).astype(float), "k": rng.choice(list("aaab"), len(x))})
 
 
-@pytest.mark.parametrize("buckets", [2, 16, 64])
-def test_value_ranks_match_pandas(spark, skewed, buckets):
-    got = ranks.value_ranks(frame(spark, skewed), ["x", "y"], buckets=buckets).toPandas()
+@pytest.mark.parametrize("parts", [1, 2, 16, 64])
+def test_value_ranks_match_pandas(spark, skewed, parts):
+    got = ranks.value_ranks(frame(spark, skewed), ["x", "y"], ranges=parts).toPandas()
     for c in ("x", "y"):
         want = pd.DataFrame({"value": skewed[c], "rank": skewed[c].rank()}).dropna().drop_duplicates().sort_values("value")
         mine = got[got["column"] == c].sort_values("value")
@@ -38,8 +38,9 @@ def test_value_ranks_match_pandas(spark, skewed, buckets):
         assert (mine["rank"] * mine["count"]).sum() == n * (n + 1) / 2
 
 
-def test_value_ranks_by_key(spark, skewed):
-    got = ranks.value_ranks(frame(spark, skewed), ["x"], ["k"]).toPandas()
+@pytest.mark.parametrize("parts", [None, 5])
+def test_value_ranks_by_key(spark, skewed, parts):
+    got = ranks.value_ranks(frame(spark, skewed), ["x"], ["k"], ranges=parts).toPandas()
     skewed = skewed.assign(r=skewed.groupby("k")["x"].rank())
     for k, part in skewed.dropna().groupby("k"):
         want = part[["x", "r"]].drop_duplicates().sort_values("x")
@@ -61,6 +62,31 @@ def test_quantiles_by_key(spark, skewed):
         np.testing.assert_allclose(got[k], part["x"].quantile([0.25, 0.5]))
 
 
+def test_ranks_of_null_keys_odd_names_and_signed_zeros(spark):
+    rows = [(None, 2.0), (None, -0.0), (None, 0.0), ("a", float("nan")), ("a", None), ("a", float("-inf")), ("a", 1.0)]
+    df = spark.createDataFrame(rows, "`k.1` string, `x.y` double")
+    got = {(r["k.1"], r["column"], r["value"]): (r["count"], r["before"], r["rank"], r["n"]) for r in ranks.value_ranks(df, ["x.y"], ["k.1"], ranges=3).collect()}
+    assert got == {
+        (None, "x.y", 0.0): (2, 0, 1.5, 3), (None, "x.y", 2.0): (1, 2, 3.0, 3),
+        ("a", "x.y", float("-inf")): (1, 0, 1.0, 2), ("a", "x.y", 1.0): (1, 1, 2.0, 2),
+    }
+    assert ranks.value_ranks(df.limit(0), ["x.y"]).collect() == []
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """Sorts get more ranges with more rows, whatever the number of shuffle partitions, and the results stay."""
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 100)
+    sizes = []
+    for n in (1_000, 4_000):
+        df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(10 * n)).cast("double").alias("x"), "id")
+        got = ranks.value_ranks(df, ["x"])
+        assert got.agg(F.sum(F.col("rank") * F.col("count"))).first()[0] == n * (n + 1) / 2
+        numbered, total = ranks.row_positions(df, ["x"])
+        assert total == n and numbered.agg(F.sum("_pos")).first()[0] == n * (n - 1) // 2
+        sizes.append((ranks.range_count(df, n), numbered.rdd.getNumPartitions()))
+    assert [s[0] for s in sizes] == [10, 40] and sizes[1][1] == 40 and sizes[0][1] == 10
+
+
 @settings(**SLOW)
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=40), st.integers(1, 5))
 def test_ranks_do_not_depend_on_layout(spark, values, parts):
@@ -161,8 +187,22 @@ def test_sample_shape_statistics(spark, skewed):
     assert row[1] == pytest.approx(skewed["x"].kurt(), rel=1e-10)
 
 
-def test_no_window_in_a_single_task(spark, load):
-    """Ranks and fills without keys never gather the table in one partition."""
+def test_moments_of_counted_values(spark, skewed):
+    df = frame(spark, skewed).withColumn("c", F.lit(0.1)).withColumn("two", F.when(F.col("y") < 0, F.lit(1.0)))
+    got = {r["column"]: r for r in ranks.value_moments(ranks.counted_values(df, ["x", "y", "c", "two"])).collect()}
+    assert set(got) == {"x", "y", "c"}
+    for c in ("x", "y"):
+        data = skewed[c].dropna()
+        for name, want in (("mean", data.mean()), ("std", data.std()), ("skewness", data.skew()), ("kurtosis", data.kurt()), ("mode", data.mode()[0])):
+            assert got[c][name] == pytest.approx(want, rel=1e-9), (c, name)
+    assert (got["c"]["std"], got["c"]["skewness"], got["c"]["kurtosis"], got["c"]["count"]) == (0.0, 0.0, 0.0, len(skewed))
+    single = ranks.value_moments(spark.createDataFrame([("a", 3.0, 1)], "column string, value double, count bigint")).first()
+    assert (single["std"], single["skewness"], single["kurtosis"], single["mode"]) == (None, None, None, 3.0)
+
+
+def test_no_window_in_a_single_task(spark, load, monkeypatch):
+    """Ranks and fills without keys never gather more than one range in one partition."""
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 100)
     df = load("events")
     for plan in (
         ranks.value_ranks(df, ["value"]),
