@@ -31,8 +31,19 @@ class Clustering:
     summary: DataFrame
 
 
-def run_kmeans(df: DataFrame, key: Sequence[str], clusters: int = 3, columns: Sequence[str] | None = None, seed: int = 42) -> Clustering:
-    """Medians for gaps, standardised, k-means: labels by key, centres, sizes, inertia and silhouette."""
+def run_kmeans(
+    df: DataFrame,
+    key: Sequence[str],
+    clusters: int = 3,
+    columns: Sequence[str] | None = None,
+    seed: int = 42,
+    exact_silhouette: bool = False,
+) -> Clustering:
+    """Medians for gaps, standardised, k-means: labels by key, centres, sizes, inertia and silhouettes.
+
+    ``silhouette_squared`` needs one scan: a cluster's count, sum and sum of squares give the mean squared distance
+    to it. ``silhouette``, by plain distances, is quadratic in the rows and null unless ``exact_silhouette`` asks for it.
+    """
     cols = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in key]
     require(df, *cols, *key)
     if not cols:
@@ -48,11 +59,9 @@ def run_kmeans(df: DataFrame, key: Sequence[str], clusters: int = 3, columns: Se
     spark = df.sparkSession
     centres = [(i, c, float(v)) for i, centre in enumerate(model.clusterCenters()) for c, v in zip(cols, centre)]
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("size"))
-    kinds = len(model.summary.clusterSizes) if model.summary else clusters
-    squared = 0.0
-    if sum(1 for s in model.summary.clusterSizes if s) > 1:
-        squared = ClusteringEvaluator(predictionCol="cluster", distanceMeasure="squaredEuclidean").evaluate(placed)
-    exact = euclidean_silhouette(placed.select("features", "cluster")) if kinds > 1 else None
+    several = sum(1 for s in model.summary.clusterSizes if s) > 1
+    squared = squared_silhouette(placed) if several else 0.0
+    exact = euclidean_silhouette(placed.select("features", "cluster")) if several and exact_silhouette else None
     summary = spark.createDataFrame(
         [(rows, clusters, float(model.summary.trainingCost), float(squared), exact)],
         "n bigint, n_clusters int, inertia double, silhouette_squared double, silhouette double",
@@ -65,6 +74,11 @@ def run_kmeans(df: DataFrame, key: Sequence[str], clusters: int = 3, columns: Se
     )
 
 
+def squared_silhouette(placed: DataFrame) -> float:
+    """Mean silhouette by squared distances, from one table of cluster sums: linear in the rows."""
+    return float(ClusteringEvaluator(predictionCol="cluster", distanceMeasure="squaredEuclidean").evaluate(placed))
+
+
 def euclidean_silhouette(placed: DataFrame, block: int = SILHOUETTE_BLOCK) -> float:
     """Mean silhouette by plain distances, exact at every size.
 

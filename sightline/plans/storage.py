@@ -6,9 +6,11 @@ from the session. Only when nothing is set, as in tests, is a folder chosen here
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +36,43 @@ def materialise(df: DataFrame) -> DataFrame:
     """Fix a frame's rows and cut its lineage in storage that outlives an executor."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file under a name that nobody has taken; False if it is taken.
+
+    On a local folder the whole file appears at once. Elsewhere the name is taken by the file
+    system's own exclusive create (atomic on HDFS) and the text is there when it is closed.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":
+        local = fs.makeQualified(target).toUri().getPath()
+        folder = os.path.dirname(local)
+        os.makedirs(folder, exist_ok=True)
+        draft = f"{folder}/.{uuid.uuid4().hex}"
+        with open(draft, "w") as f:
+            f.write(text)
+        try:
+            os.link(draft, local)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as problem:
+        if "FileAlreadyExists" in str(problem.java_exception.getClass().getName()):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -312,6 +312,20 @@ def _(spark, sf):
     return summarise_log(trail.export_log()).select("total_operations", "total_rows_affected", "operations")
 
 
+@query("audit_undo", "SELECT c_custkey, c_mktsegment, c_acctbal, true AS live_before, false AS live_after FROM fx_dups")
+def _(spark, sf):
+    """The rows that a second session gets back after the first one's change."""
+    df = view(spark, sf, "fx_dups")
+    folder = scratch_path(spark, "audit")
+    trail = AuditTrail(spark, folder)
+    trail.save_snapshot(df)
+    trail.record("Remove duplicates", df.columns, df.count(), cleaning.drop_duplicates(df).count())
+    other = AuditTrail(spark, folder)
+    before = other.can_undo()
+    back = other.undo()
+    return back.select("*", F.lit(before).alias("live_before"), F.lit(trail.can_undo()).alias("live_after"))
+
+
 # ---------------------------------------------------------------- anomalies
 
 NUMBERS = ("value", "user_id")

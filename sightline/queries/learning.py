@@ -331,7 +331,7 @@ VECTORS = "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e
 
 @query("cluster_kmeans")
 def _(spark, sf):
-    return clusters.run_kmeans(_cluster_frame(spark, sf).drop("label"), ["vec_id"]).summary
+    return clusters.run_kmeans(_cluster_frame(spark, sf).drop("label"), ["vec_id"], exact_silhouette=True).summary
 
 
 @query("cluster_centres")
@@ -353,6 +353,22 @@ def _(spark, sf):
     return spark.createDataFrame([(s,)], "silhouette double")
 
 
+@query(
+    "cluster_silhouette_squared",
+    f"""WITH x AS ({VECTORS}), l AS (UNPIVOT x ON {E_NAMES} INTO NAME feature VALUE v),
+    c AS (SELECT label, feature, avg(v) AS m, sum(v * v) AS q, count(*) AS n FROM l GROUP BY 1, 2),
+    d AS (SELECT l.vec_id AS i, l.label AS own, c.label AS other, any_value(c.n) AS n,
+        sum(l.v * l.v - 2 * l.v * c.m + c.q / c.n) AS d FROM l JOIN c USING (feature) GROUP BY 1, 2, 3),
+    s AS (SELECT i, max(n) FILTER (own = other) AS size, max(d * n / greatest(n - 1, 1)) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b
+        FROM d GROUP BY i)
+    SELECT round(avg(CASE WHEN size > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM s""",
+)
+def _(spark, sf):
+    rows = VectorAssembler(inputCols=[f"e{i}" for i in range(DIMS)], outputCol="features").transform(_cluster_frame(spark, sf))
+    s = clusters.squared_silhouette(rows.select("features", F.col("label").cast("int").alias("cluster")))
+    return spark.createDataFrame([(s,)], "silhouette double")
+
+
 @query(
     "cluster_profile",
     f"""WITH x AS ({VECTORS}), l AS (UNPIVOT x ON {E_NAMES} INTO NAME feature VALUE v),

@@ -2,6 +2,7 @@
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -180,6 +181,38 @@ def test_audit_undo_keeps_ten(spark, tmp_path):
     assert s["total_operations"] == 1 and s["total_rows_affected"] == 3
     trail.clear()
     assert trail.undo() is None and trail.export_log().count() == 0
+    trail.record("again")
+    assert [r["operation"] for r in trail.export_log().collect()] == ["again"]
+
+
+def test_audit_outlives_its_session(spark, tmp_path):
+    """Another session continues the log, and writers at the same time never share a number or an undone version."""
+    folder = str(tmp_path / "trail")
+    first = audit.AuditTrail(spark, folder)
+    assert not first.can_undo() and first.versions().count() == 0 and first.export_log().count() == 0
+    first.save_snapshot(spark.range(3))
+    first.record("step", ["a"], 5, 3)
+    second = audit.AuditTrail(spark.newSession(), folder)
+    assert second.can_undo() and sorted(r["id"] for r in second.undo().collect()) == [0, 1, 2]
+    assert not first.can_undo() and first.undo() is None
+    assert [r["operation"] for r in first.export_log().collect()] == ["step", audit.UNDO]
+    for i in range(4):
+        first.save_snapshot(spark.range(10 + i))
+    with ThreadPoolExecutor(4) as pool:
+        trails = [audit.AuditTrail(spark, folder) for _ in range(4)]
+        undone = list(pool.map(lambda t: t.undo().count(), trails))
+        list(pool.map(lambda t: t.record("same time"), trails))
+    assert sorted(undone) == [10, 11, 12, 13]
+    seqs = [r["seq"] for r in audit.AuditTrail(spark, folder)._log().collect()]
+    assert sorted(seqs) == list(range(1, len(seqs) + 1)) and len(seqs) == 3 + 4 + 4 + 4
+
+
+def test_audit_steps_over_a_number_whose_writer_died(spark, tmp_path):
+    trail = audit.AuditTrail(spark, str(tmp_path / "trail"))
+    trail.record("one")
+    (tmp_path / "trail" / "log" / f"{2:012d}.json").write_text("")
+    trail.record("two")
+    assert [(r["seq"], r["operation"]) for r in trail.export_log().collect()] == [(1, "one"), (3, "two")]
 
 
 # ---------------------------------------------------------------- neighbours, anomalies, clusters
@@ -218,7 +251,8 @@ def test_cluster_recovers_blobs(spark):
     rng = np.random.default_rng(23)
     x = np.vstack([rng.normal(c, 0.2, (40, 2)) for c in (0, 5, 10)])
     df = frame(spark, {"id": range(120), "a": x[:, 0], "b": x[:, 1]})
-    done = clusters.run_kmeans(df, ["id"])
+    assert clusters.run_kmeans(df, ["id"]).summary.first()["silhouette"] is None
+    done = clusters.run_kmeans(df, ["id"], exact_silhouette=True)
     assert sorted(r["size"] for r in done.sizes.collect()) == [40, 40, 40]
     assert done.summary.first()["silhouette"] > 0.8
 
