@@ -29,11 +29,17 @@ STEMS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 #: Bytes that one compressed stream may unfold to; beyond it the layer is cut there and counted in n_cut.
 UNFOLD = 64 << 20
+#: First bytes of a possible stream that are tried before all of it is.
+PROBE = 64
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run of base64 letters at the end of a line and the lines after it that start with one; linear, since nothing is given back.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 SPACE = re.compile(r"\s")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))|&#(?:(\d{1,7})|[xX]([0-9A-Fa-f]{1,6}));")
 PACKED = ((b"\x1f\x8b", "gzip"), (b"x\x01", "zlib"), (b"x\x5e", "zlib"), (b"x\x9c", "zlib"), (b"x\xda", "zlib"), (b"BZh", "bz2"), (b"\xfd7zXZ\x00", "xz"))
+CODERS = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
 
 
 def scan(text: str) -> Iterator[tuple[int, int, int]]:
@@ -87,24 +93,67 @@ def pieces(segment: str, kind: str) -> Iterator[tuple[str, int, int]]:
     yield from ((segment[i], i, i + 1) for i in range(at, len(segment)))
 
 
-def unfold(raw: bytes, kind: str) -> tuple[bytes, bool]:
-    """The unpacked bytes and whether they were cut at UNFOLD; what a damaged stream gave before it broke."""
-    make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
-    try:
-        coder = make[kind]()
-        out = coder.decompress(raw, UNFOLD)
-        return out, len(out) >= UNFOLD and not coder.eof
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return b"", False
+def unfold(raw: bytes, kind: str) -> tuple[bytes, bool, bool]:
+    """The unpacked bytes of all members of a stream, whether they were cut at UNFOLD, and whether the stream is whole.
+
+    The bytes go in by small steps, so a damaged or broken-off stream gives what came before the break.
+    """
+    magics = tuple(magic for magic, k in PACKED if k == kind)
+    out, rest = bytearray(), raw
+    while rest.startswith(magics):
+        coder, step, at = CODERS[kind](), 1 + len(rest) // 4096, 0
+        try:
+            while at < len(rest) and not coder.eof:
+                out += coder.decompress(rest[at : at + step], UNFOLD - len(out))
+                at += step
+                if len(out) >= UNFOLD:
+                    return bytes(out), True, False
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            return bytes(out), False, False
+        if not coder.eof:
+            return bytes(out), False, False
+        rest = coder.unused_data + rest[at:]
+    return bytes(out), False, True
+
+
+def plain(raw: bytes, whole: bool = True) -> str | None:
+    """The text of bytes that are text: valid UTF-8 without control characters; the end may be within a character if not whole."""
+    for end in range(len(raw), max(-1, len(raw) - (1 if whole else 4)), -1):
+        try:
+            text = raw[:end].decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+    return None
 
 
-def plain(raw: bytes) -> str | None:
-    """The text of bytes that are text: valid UTF-8 without control characters."""
+def packing(raw: bytes) -> str | None:
+    return next((kind for magic, kind in PACKED if raw.startswith(magic)), None)
+
+
+def starts(head: bytes) -> bool:
+    """Whether the first bytes of a stream unpack, so that the rest is not copied for every chance magic."""
+    coder = CODERS[packing(head)]()
+    got = 0
     try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+        for i in range(len(head)):
+            got += len(coder.decompress(head[i : i + 1], PROBE))
+    except EOFError:  # a whole stream, with more after it
+        return True
+    except (zlib.error, OSError, ValueError, lzma.LZMAError):
+        return got > 0
+    return True
+
+
+def unpacked(raw: bytes) -> tuple[str | None, bool]:
+    """The text under any compression, and whether it was cut."""
+    cut, whole, seen = False, True, set()
+    while (kind := packing(raw)) and (mark := hashlib.sha256(raw).digest()) not in seen:
+        seen.add(mark)
+        raw, more, all_there = unfold(raw, kind)
+        cut |= more
+        whole &= all_there
+    return plain(raw, whole), cut
 
 
 def opened(segment: str) -> tuple[str | None, bool]:
@@ -116,12 +165,58 @@ def opened(segment: str) -> tuple[str | None, bool]:
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None, False
-    cut, seen = False, set()
-    while (kind := next((k for magic, k in PACKED if raw.startswith(magic)), None)) and (mark := hashlib.sha256(raw).digest()) not in seen:
-        seen.add(mark)
-        raw, more = unfold(raw, kind)
-        cut |= more
-    return plain(raw), cut
+    return unpacked(raw)
+
+
+def wrapped(text: str) -> Iterator[tuple[str, int, int]]:
+    """(joined letters, start, end) of base64 that is wrapped over lines: inner lines of one width, the last no longer."""
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0])]
+        at = 0
+        while at + 1 < len(lines):
+            width = lines[at + 1][1] - lines[at + 1][0]
+            end = at + 2
+            while end < len(lines) and lines[end][1] - lines[end][0] == width:
+                end += 1
+            stops = [end]
+            if end < len(lines) and lines[end][1] - lines[end][0] < width:
+                stops.append(end + 1)
+            elif end == at + 2 or end == len(lines):
+                stops.append(end - 1)  # the last line may be a word of what follows
+            for stop in stops:
+                if stop - at > 1:
+                    yield "".join(text[a:b] for a, b in lines[at:stop]), lines[at][0], lines[stop - 1][1]
+            at = end - 1 if end == at + 2 else end
+
+
+def escaped_bytes(segment: str) -> tuple[bytes, list[int]]:
+    """The bytes that a segment with percent escapes stands for, and the place of each."""
+    out, places, at = bytearray(), [], 0
+    while at < len(segment):
+        m = PERCENT.match(segment, at)
+        if m:
+            raw = bytes.fromhex(m[0].replace("%", ""))
+            places += range(at, m.end(), 3)
+            at = m.end()
+        else:
+            raw = segment[at].encode("utf-8", "surrogatepass")
+            places += [at] * len(raw)
+            at += 1
+        out += raw
+    return bytes(out), places
+
+
+def packed_escapes(segment: str) -> Iterator[tuple[str, int, bool]]:
+    """(text, start, cut) of compressed streams whose bytes are percent-escaped; each stream is tried from its first bytes."""
+    raw, places = escaped_bytes(segment)
+    if plain(raw) is not None:
+        return
+    for at in sorted({m.start() for magic, _ in PACKED for m in re.finditer(re.escape(magic), raw)}):
+        if not starts(raw[at : at + PROBE]):
+            continue
+        text, cut = unpacked(raw[at:])
+        if text:
+            yield text, places[at], cut
 
 
 def runs(text: str, core: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -160,6 +255,10 @@ def widened(text: str, start: int, end: int) -> tuple[int, int]:
 def decoded(layer: Layer) -> Iterator[tuple[Layer, bool]]:
     """The layers directly below a layer."""
     text = layer.text
+    if "%" in text:
+        for start, end in runs(text, PERCENT):
+            for inner, at, cut in packed_escapes(text[start:end]):
+                yield Layer(inner, Same(layer.lo[start + at]), Same(layer.hi[end - 1])), cut
     for kind, core, sign in (("url", PERCENT, "%"), ("unicode", ESCAPE, "\\"), ("unicode", ESCAPE, "&#")):
         if sign not in text or sign == "&#" and "\\" in text:
             continue
@@ -173,6 +272,12 @@ def decoded(layer: Layer) -> Iterator[tuple[Layer, bool]]:
             inner, cut = opened(m[0])
             if inner is not None:
                 yield Layer(inner, Same(layer.lo[m.start()]), Same(layer.hi[m.end() - 1])), cut
+    if "\n" in text:
+        for joined, start, end in wrapped(text):
+            if worth(joined):
+                inner, cut = opened(joined)
+                if inner is not None:
+                    yield Layer(inner, Same(layer.lo[start]), Same(layer.hi[end - 1])), cut
 
 
 def worth(segment: str) -> bool:

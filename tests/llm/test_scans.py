@@ -4,8 +4,10 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -61,6 +63,51 @@ def test_nested_layers_map_to_the_document(name):
     assert any(k == 0 and 7 <= a < b <= 7 + len(LAYERS[name]) for a, k, b in spans)
 
 
+def percent(raw):
+    return "".join(f"%{b:02x}" for b in raw)
+
+
+def lines(text, width, joint="\n"):
+    return joint.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+LONG = "some words before it, " * 20 + SECRET + " and some after it" * 20
+PACKERS = {"gzip": lambda x: gzip.compress(x, mtime=0), "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress}
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_all_members_broken_streams_and_raw_bytes(name):
+    pack = PACKERS[name]
+    packed = pack(LONG.encode())
+    two = pack(b"first member ") + pack(SECRET.encode())
+    assert any(k == 0 for _, k, _ in secrets.find(f"x {b64(two)} y")[1])
+    for text in (percent(packed), urllib.parse.quote_from_bytes(packed), "data=" + percent(two), percent(pack(b64(packed).encode()))):
+        spans = secrets.find(f"x {text} y")[1]
+        assert any(k == 0 and 2 <= a < b <= 2 + len(text) for a, k, b in spans), text
+    if name in ("gzip", "zlib"):
+        # nothing but the end is damaged or missing: what was unpacked before it counts
+        noisy = pack((SECRET + " " + "".join(chr(33 + random.Random(i).randrange(90)) for i in range(900))).encode())
+        for broken in (noisy[:-60], noisy[:-6] + bytes(6), noisy[:-3]):
+            assert any(k == 0 for _, k, _ in secrets.find(f"x {b64(broken)} y")[1])
+
+
+@pytest.mark.parametrize("width", [20, 64, 76])
+@pytest.mark.parametrize("joint", ["\n", "\r\n", "\n    "])
+def test_wrapped_base64_is_one_segment(width, joint):
+    for packed in (LONG.encode(), gzip.compress(LONG.encode(), mtime=0), b64(LONG).encode()):
+        body = lines(b64(packed), width, joint)
+        for before, after in (("", ""), ("Some text:\n", "\nand more words"), ("key: ", "\n\nEnd"), ("-----BEGIN-----\n", "\n-----END-----\n")):
+            text = before + body + after
+            assert any(k == 0 and len(before) <= a < b <= len(before) + len(body) for a, k, b in secrets.find(text)[1]), text
+
+
+def test_broken_layers_take_linear_time():
+    start = time.monotonic()
+    for text in ["A" * 400_000, "Abcdefghijklmnop1\n" * 20_000, "Ab1" * 100_000 + "\n" * 1000, "%78%9c" * 30_000, ("Qa" * 38 + "\n") * 3000, "a \n" * 50_000]:
+        assert secrets.find(text)[1] == []
+    assert time.monotonic() - start < 60
+
+
 def test_escapes_map_exactly():
     assert secrets.find("k %41KIAABCDEFGHIJKLMNOP1 z")[1] == [(2, 1, 25)]
     assert secrets.find("café t\\u006fken=abcdefgh!")[1] == [(5, 0, 24)]
