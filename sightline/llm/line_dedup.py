@@ -9,10 +9,10 @@ from sightline.llm.common import attach, documents, packed
 from sightline.llm.registry import query
 from sightline.plans.storage import materialise
 
-#: Lines of fewer words are never called duplicates: they are too common to be copies.
-MIN_WORDS = 5
-#: From this many words on, one word may be inserted, deleted or replaced.
-EDIT_WORDS = 10
+#: Lines of fewer words are never called duplicates; with 1, every line but an empty one can be.
+MIN_WORDS = 1
+#: From this many words on, one word may be inserted, deleted or replaced: a fifth of the shortest such line.
+EDIT_WORDS = 5
 #: A line is cut into so many stretches; two lines one edit apart agree outside one of them.
 STRETCHES = 2
 #: Bits of the filter that keeps lines without a candidate partner out of the join; it is 2 MB and broadcast.
@@ -25,12 +25,13 @@ def joined_without(array: Column, at: Column, skip: Column, size: Column) -> Col
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line of ``min_words`` words or more: doc_id, _row (hash of the text), pos, line, n (words), a, b (128 bits of the line)."""
+    """A row for each line of ``min_words`` words or more: doc_id, _row (hash of the text), pos, line (tabs as spaces), n (words), a, b (128 bits of the line)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # made inside the array, so that each value is computed once and not again in filters and keys above
-    trimmed = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(" \t\r")).alias("line")))
+    spaced = F.replace("text", F.lit("\t"), F.lit(" "))
+    trimmed = F.transform(F.split(spaced, "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(" \r")).alias("line")))
     counted = F.transform(trimmed, lambda x: F.struct(x["pos"], x["line"], (F.octet_length(x["line"]) - F.octet_length(F.replace(x["line"], F.lit(" "), F.lit(""))) + 1).alias("n")))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("_row"), F.inline(F.filter(counted, lambda x: x["n"] >= min_words)))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("_row"), F.inline(F.filter(counted, lambda x: (x["n"] >= min_words) & (x["line"] != ""))))
     return rows.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(1), F.col("line")))
 
 
@@ -155,10 +156,10 @@ def cut_lines(docs: DataFrame, min_words: int, edit_words: int, stretches: int,
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS, stretches: int = STRETCHES, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``docs`` with text cut to the lines that stay, and n_lines, n_dropped; every row and column is kept.
 
-    A line of ``min_words`` words or more goes if the same line occurs earlier (by doc_id, nulls last,
+    A line of ``min_words`` words or more, in any script, goes if the same line occurs earlier (by doc_id, nulls last,
     then place), or, from ``edit_words`` words on, an earlier line that differs by one word inserted,
-    deleted or replaced. Spaces, tabs and carriage returns around a line do not count. Whether the earlier line
-    stays itself does not matter. Rows repeated with the same doc_id and text are one document
+    deleted or replaced. Words are parted by single spaces or tabs, which count as the same; spaces, tabs and carriage
+    returns around a line do not count, and empty lines always stay. Whether the earlier line stays itself does not matter. Rows repeated with the same doc_id and text are one document
     and keep the same lines. Null texts stay null with no lines; a text may be of any length; columns
     of ``docs`` named like the two added are replaced, all others come back as they are; an empty table gives an empty result.
     """
@@ -182,14 +183,14 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int =
 # every variant of every line, without the filter, for documents whose doc_id occurs once
 SQL = """
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, i, ls[i] AS raw, trim(ls[i], ' ' || chr(9) || chr(13)) AS line, doc_id::HUGEINT * 2147483648 + i AS o FROM d, unnest(generate_series(1, len(ls))) AS g(i)),
-k AS (SELECT * FROM l WHERE len(string_split(line, ' ')) >= 5),
+l AS (SELECT doc_id, i, ls[i] AS raw, trim(replace(ls[i], chr(9), ' '), ' ' || chr(13)) AS line, doc_id::HUGEINT * 2147483648 + i AS o FROM d, unnest(generate_series(1, len(ls))) AS g(i)),
+k AS (SELECT * FROM l WHERE line <> ''),
 u AS (SELECT line, string_split(line, ' ') AS w, min(o) AS o FROM k GROUP BY line),
-v AS (SELECT line, o, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest FROM u, unnest(generate_series(1, len(w))) AS g(i) WHERE len(w) >= 10),
+v AS (SELECT line, o, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest FROM u, unnest(generate_series(1, len(w))) AS g(i) WHERE len(w) >= 5),
 near AS (
     SELECT line FROM (SELECT line, o, min(o) OVER (PARTITION BY rest, i) AS m FROM v) WHERE m < o
-    UNION SELECT v.line FROM v JOIN u ON v.rest = u.line WHERE len(u.w) >= 10 AND u.o < v.o
-    UNION SELECT u.line FROM v JOIN u ON v.rest = u.line WHERE len(u.w) >= 10 AND v.o < u.o),
+    UNION SELECT v.line FROM v JOIN u ON v.rest = u.line WHERE len(u.w) >= 5 AND u.o < v.o
+    UNION SELECT u.line FROM v JOIN u ON v.rest = u.line WHERE len(u.w) >= 5 AND v.o < u.o),
 gone AS (SELECT k.o FROM k JOIN u ON k.line = u.line WHERE k.o <> u.o OR k.line IN (SELECT line FROM near)),
 r AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.i) FILTER (WHERE gone.o IS NULL) AS rest, count(*) AS n_lines, count(gone.o) AS n_dropped FROM l LEFT JOIN gone ON l.o = gone.o GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(rest, '') END AS text, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_dropped
