@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -136,34 +137,61 @@ def test_toxicity_odd(spark, odd, none):
 # ---------------------------------------------------------------- language
 
 
-def test_probabilities_sum_to_one():
-    words = ["the", "then", "hat", "that", "a", "tat"] * 3 + ["heat", "ten"]
-    made, _ = language.grams(words, 3)
-    keys, n = np.unique(made[-1], return_counts=True)
-    model = language.build(pd.DataFrame({"lang": "x", "gram": keys, "n": n}), 3)
-    # after any context the letters seen and END take what backing off leaves
-    letters = [*"thena"]
-    for start in ("", "t", "th", "ha", "z"):
-        total = sum(2.0 ** -float(model.bits([start + c])[0, 0] - (model.bits([start])[0, 0] - end(model, start))) / 2.0 ** -end(model, start + c) for c in letters)
-        total += 2.0 ** -end(model, start)
-        assert 0.6 < total <= 1 + 1e-9, (start, total)
-
-
-def end(model, word):
-    """Bits of END after a word: its last term."""
-    made, _ = language.grams([word], len(model.keys))
-    p = 1.0 / model.alphabet
-    for k, gram in enumerate(made):
-        p = model.gain[k][language.place(model.keys[k], gram[-1:]), 0] + model.rest[k][language.place(model.contexts[k], gram[-1:] >> language.BITS), 0] * p
-    return float(-np.log2(p)[0])
+def recursive_bits(texts, word, order, alphabet):
+    """A word's code length by the textbook recursion over dictionaries of letter tuples."""
+    padded = lambda w: (None,) * (order - 2) + ("<",) + tuple(w) + (">",)
+    tables = {order: {}}
+    for w in texts:
+        p = padded(w)
+        for i in range(order - 1, len(p)):
+            g = p[i - order + 1 : i + 1]
+            tables[order][g] = tables[order].get(g, 0) + 1
+    for k in range(order, 1, -1):
+        below = tables[k - 1] = {}
+        for g, n in tables[k].items():
+            below[g[1:]] = below.get(g[1:], 0) + (n if g[0] is None else 1)
+
+    def probability(g):
+        if not g:
+            return 1 / alphabet
+        counts = tables[len(g)]
+        ones, twos = (sum(n == x for n in counts.values()) for x in (1, 2))
+        discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        around = [n for h, n in counts.items() if h[:-1] == g[:-1]]
+        if not around:
+            return probability(g[1:])
+        return max(counts.get(g, 0) - discount, 0) / sum(around) + discount * len(around) / sum(around) * probability(g[1:])
+
+    p = padded(word)
+    return sum(-math.log2(probability(p[i - order + 1 : i + 1])) for i in range(order - 1, len(p)))
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_code_lengths_equal_recursion(spark, order):
+    said = {"x": ["the", "then", "hat", "that", "a", "tat"] * 3 + ["heat", "ten"], "y": ["das", "dass", "daß", "日本語", "日本", "ab"] * 2 + ["\U00020000a"]}
+    docs = spark.createDataFrame([(lang, " ".join(words)) for lang, words in said.items()], "lang string, text string")
+    model = language.kneser_ney(language.count_grams(docs, order), ["x", "y"], order)
+    tried = ["the", "tha", "zebra", "日語", "das", "t", "\U00020000"]
+    words = spark.createDataFrame([(w,) for w in tried], "word string")
+    got = {r.word: r for r in words.select("word", *language.hashes()).join(language.word_bits(words, model), ["a", "b"]).collect()}
+    for w in tried:
+        assert got[w].letters == len(w) + 1
+        assert got[w].bits == pytest.approx([recursive_bits(said[x], w, order, 64) for x in "xy"]), w
 
 
 def test_counts_equal_brute_force(spark, make):
     docs = make([(1, "The cat, the CAT!\nsat"), (2, "a-b 12 x1y"), (3, None)]).selectExpr("doc_id", "coalesce(text, '') as text", "lang")
-    got = {r.gram: r.n for r in language.count_grams(docs, 3).collect()}
-    made, _ = language.grams(["the", "cat", "the", "cat", "sat", "a", "b", "x", "y"], 3)
-    keys, n = np.unique(made[-1], return_counts=True)
-    assert got == dict(zip(keys.tolist(), n.tolist()))
+    got = {(r.hi, r.lo): r.n for r in language.count_grams(docs, 3).collect()}
+    hi, lo, _ = language.grams(["the", "cat", "the", "cat", "sat", "a", "b", "x", "y"], 3)
+    assert got == Counter(zip(hi.tolist(), lo.tolist()))
+
+
+def test_rare_and_frequent_words_add_up(spark, make, monkeypatch):
+    docs = make([(i, "the cat sat on the mat " * (i + 1) + f"zq{'abcdefghij'[i]}x Ünï") for i in range(10)])
+    model = language.learn(docs)
+    whole = {r.doc_id: r.entropy for r in language.identify(docs, model).collect()}
+    monkeypatch.setattr(language, "FREQUENT", 3)  # nearly all words go through the shuffles
+    assert {r.doc_id: r.entropy for r in language.identify(docs, model).collect()} == pytest.approx(whole)
 
 
 def test_language_tells_held_out_rows(small):
