@@ -173,7 +173,8 @@ def test_code_lengths_equal_recursion(spark, order):
     model = language.kneser_ney(language.count_grams(docs, order), ["x", "y"], order)
     tried = ["the", "tha", "zebra", "日語", "das", "t", "\U00020000"]
     words = spark.createDataFrame([(w,) for w in tried], "word string")
-    got = {r.word: r for r in words.select("word", *language.hashes()).join(language.word_bits(words, model), ["a", "b"]).collect()}
+    known = language.gram_bits(words.withColumnRenamed("word", "text"), model)
+    got = {r.word: r for r in words.select("word", *language.hashes()).join(language.word_bits(words, known, model), ["a", "b"]).collect()}
     for w in tried:
         assert got[w].letters == len(w) + 1
         assert got[w].bits == pytest.approx([recursive_bits(said[x], w, order, 64) for x in "xy"]), w
@@ -190,8 +191,9 @@ def test_rare_and_frequent_words_add_up(spark, make, monkeypatch):
     docs = make([(i, "the cat sat on the mat " * (i + 1) + f"zq{'abcdefghij'[i]}x Ünï") for i in range(10)])
     model = language.learn(docs)
     whole = {r.doc_id: r.entropy for r in language.identify(docs, model).collect()}
-    monkeypatch.setattr(language, "FREQUENT", 3)  # nearly all words go through the shuffles
-    assert {r.doc_id: r.entropy for r in language.identify(docs, model).collect()} == pytest.approx(whole)
+    for held in (0, 60):  # all words, and nearly all, go through the shuffles
+        monkeypatch.setattr(language, "HELD", held)
+        assert {r.doc_id: r.entropy for r in language.identify(docs, model).collect()} == pytest.approx(whole)
 
 
 def test_language_tells_held_out_rows(small):
