@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -291,6 +292,36 @@ def brute_groups(texts, t):
     return {(v, k) for k, v in leader.items() if sizes[v] > 1}
 
 
+def test_fuzzy_alignment_stops_and_is_exact():
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghijklmnop", k=4000))
+    far = ["".join(rng.choices("abcdefghijklmnop", k=4000)) for _ in range(3)]
+    close = text[:900] + text[1000:2500] + "xyz" * 30 + text[2500:]
+    read = []
+
+    class Places(dict):
+        def get(self, ch, other=None):
+            read.append(ch)
+            return super().get(ch, other)
+
+    others = [Places(fuzzy._places(t)) for t in [*far, close]]
+    sizes = np.array([len(t) for t in [*far, close]])
+    needed = fuzzy._needed(sizes + len(text), 0.85)
+    assert fuzzy._common(text, others, sizes, needed).tolist() == [-1, -1, -1, 3900]
+    # three unlike texts are given up before the middle, where one like it is read to the end
+    assert len(read) < 16 * (16 + 3 * 8)
+    whole = fuzzy._common(text, others, sizes, np.zeros(4, int))
+    assert whole[3] == 3900 and all(fuzzy.similarity(text, t) == 2 * w / 8000 for t, w in zip(far, whole))
+
+
+def test_fuzzy_pairs_are_aligned_once(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(fuzzy, "_meet", lambda texts, leaders, *a, _own=fuzzy._meet, **k: met.append((texts.count(), leaders.count())) or _own(texts, leaders, *a, **k))
+    df = spark.createDataFrame([(i, chr(97 + i) * 9) for i in range(6)], "id bigint, t string")
+    assert fuzzy.find_fuzzy_duplicates(df, "id", ["t"], 0.85).count() == 0
+    assert met == [(6, 6)]
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.85, 1.0])
 def test_fuzzy_groups_match_brute_force(spark, threshold, monkeypatch):
     monkeypatch.setattr(fuzzy, "FIRST_ROUND", 5)
