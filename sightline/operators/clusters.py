@@ -20,7 +20,11 @@ from sightline.plans.longform import melt
 from sightline.plans.storage import materialise
 
 #: Distinct points of one block of the silhouette; a task holds two blocks.
-SILHOUETTE_BLOCK = 4_000
+SILHOUETTE_BLOCK = 32_000
+#: Distances that a task holds at a time.
+HELD_DISTANCES = 4_000_000
+#: Pairs too close for a matrix product whose differences are held at a time.
+PAIRS = 50_000
 
 
 @dataclass(frozen=True)
@@ -91,8 +95,11 @@ def euclidean_silhouette(placed: DataFrame, block: int = SILHOUETTE_BLOCK) -> fl
     blocks = max(1, -(-points.count() // block))
     dealt = points.withColumn("block", F.pmod(F.xxhash64("p", F.lit(2)), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asks = dealt.select("p", "q", "v", F.col("block").alias("i"), others.alias("j"))
-    spots = dealt.select("cluster", "w", "v", F.col("block").alias("j"), others.alias("i"))
+    # a block of points meets each block once, in pieces when there are few blocks, so that tasks are many
+    pieces = max(1, -(-2 * placed.sparkSession.sparkContext.defaultParallelism // blocks**2))
+    piece = F.pmod(F.xxhash64("p", F.lit(3)), F.lit(pieces)).cast("int")
+    asks = dealt.select("p", "q", "v", F.col("block").alias("i"), others.alias("j"), piece.alias("k"))
+    spots = dealt.select("cluster", "w", "v", F.col("block").alias("j"), others.alias("i")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
 
     def sums(ask: pd.DataFrame, spot: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"p": [], "q": [], "other": [], "total": []})
@@ -103,13 +110,15 @@ def euclidean_silhouette(placed: DataFrame, block: int = SILHOUETTE_BLOCK) -> fl
         weights = np.zeros((len(y), len(kinds)))
         weights[np.arange(len(y)), column] = spot["w"].to_numpy()
         out = []
-        for at in range(0, len(x), 256):
-            out.append(distances(x[at : at + 256], y) @ weights)
+        step = max(1, HELD_DISTANCES // len(y))
+        for at in range(0, len(x), step):
+            out.append(distances(x[at : at + step], y) @ weights)
         total = np.vstack(out)
         n = len(kinds)
         return pd.DataFrame({"p": np.repeat(ask["p"].to_numpy(), n), "q": np.repeat(ask["q"].to_numpy(), n), "other": np.tile(kinds, len(x)), "total": total.ravel()})
 
-    found = asks.groupBy("i", "j").cogroup(spots.groupBy("i", "j")).applyInPandas(sums, "p bigint, q bigint, other int, total double")
+    where = ["i", "j", "k"]
+    found = asks.groupBy(*where).cogroup(spots.groupBy(*where)).applyInPandas(sums, "p bigint, q bigint, other int, total double")
     found = found.groupBy("p", "q", "other").agg(F.sum("total").alias("total"))
     sizes = F.broadcast(points.groupBy(F.col("cluster").alias("other")).agg(F.sum("w").alias("size")))  # a row for each cluster
     own = points.select("p", "q", "cluster", "w")
@@ -127,11 +136,20 @@ def euclidean_silhouette(placed: DataFrame, block: int = SILHOUETTE_BLOCK) -> fl
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Plain distances of all rows of x and y, a column at a time, so that memory stays at their number."""
-    out = np.zeros((len(x), len(y)))
-    for k in range(x.shape[1]):
-        out += (x[:, k, None] - y[None, :, k]) ** 2
-    return np.sqrt(out)
+    """Plain distances of all rows of x and y by one matrix product; those too small for its rounding are taken directly."""
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    long, wide = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    out = x @ y.T
+    out *= -2.0
+    out += long[:, None]
+    out += wide
+    row, col = np.nonzero(out <= 1e-6 * (long.max(initial=0.0) + wide.max(initial=0.0)))
+    # rows of differences, as many as a task may hold
+    for at in range(0, len(row), PAIRS):
+        i, j = row[at : at + PAIRS], col[at : at + PAIRS]
+        out[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1)
+    return np.sqrt(out, out=out)
 
 
 # ---------------------------------------------------------------- profiles
