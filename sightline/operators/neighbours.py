@@ -20,8 +20,12 @@ from sightline.plans.lookup import attach
 from sightline.plans.ranks import bucket_count
 from sightline.plans.storage import materialise
 
-# Points one task holds at a time.
-BLOCK_ROWS = 4000
+# Points of a cell or slice that one task holds. What is shuffled is each row times the blocks that it meets, so they are large.
+BLOCK_ROWS = 32_000
+# Queries that are worth a task of their own.
+LEAST_ROWS = 1000
+# Distances that a task holds at a time.
+HELD_DISTANCES = 4_000_000
 MAX_PIVOTS = 4000
 
 
@@ -38,8 +42,9 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 def _closest(ids, a, bound, others, b, k: int, exclude_self: bool, metric: str) -> pd.DataFrame:
     """The k closest of ``b`` for each row of ``a`` within its bound, ties by id; distances of the finalists are taken directly."""
     out = []
-    for start in range(0, len(a), 1000):
-        q, qid, most = a[start : start + 1000], ids[start : start + 1000], bound[start : start + 1000]
+    step = max(1, min(1000, HELD_DISTANCES // max(1, len(b))))
+    for start in range(0, len(a), step):
+        q, qid, most = a[start : start + step], ids[start : start + step], bound[start : start + step]
         d = _distances(q, b, metric)
         if exclude_self:
             d[qid[:, None] == others[None, :]] = np.inf
@@ -122,7 +127,10 @@ def _by_cells(queries, points, rows, k, exclude_self, metric, block, schema) ->
 
     def meet(asks: DataFrame) -> DataFrame:
         """Queries (id, v, cell, bound) against the points of that cell, slice by slice; only points within the bound come back."""
-        counts = {r["cell"]: math.ceil(r["n"] / block) for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        asked = {r["cell"]: r["n"] for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        # few cells are asked in more parts, so that tasks are many
+        more = math.ceil(2 * spark.sparkContext.defaultParallelism / max(1, sum(int(slices[c]) for c in asked)))
+        counts = {c: max(math.ceil(n / block), min(more, math.ceil(n / LEAST_ROWS))) for c, n in asked.items()}
         parts = F.get(F.array(*[F.lit(int(counts.get(c, 1))) for c in range(len(slices))]), F.col("cell"))
         left = asks.select(
             "id", "v", "cell", "bound",
@@ -164,6 +172,7 @@ def _by_cells(queries, points, rows, k, exclude_self, metric, block, schema) ->
 
 def vote(near: DataFrame, labels: DataFrame, classify: bool = True, weights: str = "uniform") -> DataFrame:
     """(id, prediction) from neighbours and the points' (id, label): majority, smallest on a tie, or mean."""
+    near = materialise(near)  # read three times
     joined = with_facts(near, labels, ["label"]).where(F.col("label").isNotNull())
     w = F.lit(1.0) if weights == "uniform" else 1.0 / (F.col("distance") + 1e-12)
     if not classify:

@@ -543,6 +543,41 @@ def test_names_with_dots_and_ticks(spark):
     assert {r["column"] for r in profile.missing_analysis(df).collect()} == {"a.b", "c`d"}
 
 
+def test_distances_by_product_are_exact_for_close_points():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)) + 1e4
+    y = np.vstack([x[:100], x[100:200] + 1e-7, rng.normal(size=(50, 8)) + 1e4])
+    want = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+    assert np.allclose(clusters.distances(x, y), want, rtol=1e-9, atol=1e-12)
+    assert (clusters.distances(x, y)[np.arange(100), np.arange(100)] == 0).all()
+
+
+def test_queries_go_to_few_blocks(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    own, sent = PandasCogroupedOps.applyInPandas, []
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda self, func, schema: sent.append(self._gd1._df.count()) or own(self, func, schema))
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4)]) for i in range(9000)], "id bigint, v array<double>").repartition(4)
+    assert neighbours.nearest_neighbours(df, df, 3, exclude_self=True).count() == 27_000
+    # each in its own cell, and in the other one at most
+    assert sent[0] == 9000 and sum(sent) <= 18_000
+
+
+def test_neighbours_are_found_once_for_a_lookup(spark):
+    found = spark.sparkContext.accumulator(0)
+    near = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5)], "id bigint, neighbour bigint, distance double")
+
+    def seen(batches):
+        for b in batches:
+            found.add(len(b))
+            yield b
+
+    labels = spark.createDataFrame([(1, 3.0), (2, 4.0)], "id bigint, label double")
+    got = neighbours.vote(near.mapInPandas(seen, near.schema), labels).collect()
+    assert {(r.id, r.prediction) for r in got} == {(1, 4.0), (2, 3.0)} and found.value == 2
+
+
 def test_silhouette_has_no_row_limit(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(size=(300, 3)), rng.normal(size=(200, 3)) + 4, [[9.0, 9.0, 9.0]] * 40])
