@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators.tree_shapley import tree_shapley
+from sightline.plans.storage import materialise
 
 #: Background rows unless the caller says otherwise; the result's std_error shows what more would bring.
 BACKGROUND_ROWS = 100
@@ -138,7 +139,7 @@ def shapley_summary(values: DataFrame) -> DataFrame:
 
 def shapley_row(values: DataFrame, row_id: int, base: float, top: int = 15) -> DataFrame:
     """(base_value, prediction, feature, shap_value, feature_value, direction) of one row, largest first."""
-    one = values.where(F.col("id") == row_id)
+    one = materialise(values.where(F.col("id") == row_id))  # read twice, found once
     total = one.agg((F.sum("shap_value") + F.lit(float(base))).alias("prediction"))
     return (
         one.crossJoin(F.broadcast(total))

@@ -280,7 +280,7 @@ def _small_tree(spark, sf):
     rows = li.select(F.monotonically_increasing_id().alias("id"), "l_quantity", "l_discount", y.alias("label"))
     rows = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="raw").transform(rows)
     model = DecisionTreeRegressor(featuresCol="raw", labelCol="label", maxDepth=2, maxBins=64).fit(rows)
-    return tree_shapley.tree_shapley(model, rows, ["l_quantity", "l_discount"])
+    return *tree_shapley.tree_shapley(model, rows, ["l_quantity", "l_discount"]), rows
 
 
 @query(
@@ -290,7 +290,7 @@ def _small_tree(spark, sf):
     "UNION ALL SELECT 'l_discount', x2, b, n FROM phi JOIN (SELECT x1, x2, count(*) AS n FROM t GROUP BY x1, x2) USING (x1, x2)) GROUP BY feature, x",
 )
 def _(spark, sf):
-    values, _ = _small_tree(spark, sf)
+    values, _, _ = _small_tree(spark, sf)
     return values.groupBy("feature", "feature_value").agg(F.min("shap_value").alias("lowest"), F.max("shap_value").alias("highest"), F.count("*").alias("n"))
 
 
@@ -300,9 +300,10 @@ def _(spark, sf):
     "CASE WHEN v > 0 THEN 'increases' ELSE 'decreases' END AS direction FROM (SELECT base, prediction, 'l_quantity' AS feature, a AS v, x1 AS x FROM one UNION ALL SELECT base, prediction, 'l_discount', b, x2 FROM one)",
 )
 def _(spark, sf):
-    values, base = _small_tree(spark, sf)
-    first = values.groupBy("id").agg(F.max(F.when(F.col("feature") == "l_quantity", F.col("feature_value"))).alias("a"), F.max(F.when(F.col("feature") == "l_discount", F.col("feature_value"))).alias("b"))
-    return shapley.shapley_row(values, first.orderBy("a", "b", "id").first()["id"], base)
+    values, base, rows = _small_tree(spark, sf)
+    # the first row by its features, from the rows themselves; nulls come first, as in a sort
+    first = F.min(F.struct("l_quantity", "l_discount", "id"))
+    return shapley.shapley_row(values, rows.agg(first.alias("r")).first()["r"]["id"], base)
 
 
 @query("shap_model")

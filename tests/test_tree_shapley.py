@@ -96,3 +96,16 @@ def test_empty_table_and_other_models(spark, rows):
     values, base = shapley.explain(linear, Prepared, background_rows=10)
     total = values.groupBy("id").agg((F.sum("shap_value") + F.lit(base)).alias("t")).join(linear.transform(rows), "id").select((F.col("t") - F.col("prediction")).alias("gap"))
     assert max(abs(r["gap"]) for r in total.collect()) < 1e-8
+
+
+def test_a_row_is_looked_for_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    values = spark.createDataFrame([(i, f, float(i), 1.0, 0.0) for i in range(5) for f in ("a", "b")], "id bigint, feature string, shap_value double, feature_value double, std_error double")
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    got = shapley.shapley_row(values.mapInPandas(seen, values.schema), 3, 0.5).collect()
+    assert [(r.feature, r.prediction, r.base_value) for r in got] == [("a", 6.5, 0.5), ("b", 6.5, 0.5)] and read.value == 10
