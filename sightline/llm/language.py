@@ -294,6 +294,19 @@ def scorer(shared, name: str) -> Scorer:
     return _SCORERS[name]
 
 
+def frequent(known: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hi, lo and bits of the most frequent grams, at most ``most``; grams of one frequency all or none.
+
+    Only these reach the driver, as flat columns: a sort with a limit would send it that many rows from every task.
+    """
+    # a row for each frequency: their sum is the number of grams read, so they are few
+    sizes = known.groupBy("n").agg(F.count("*").alias("rows")).toArrow().to_pandas().sort_values("n", ascending=False)
+    fits = sizes["n"][sizes["rows"].cumsum() <= most]
+    chosen = known.where(F.col("n") >= F.lit(int(fits.min()))) if len(fits) else known.limit(0)
+    got = chosen.select("hi", "lo", *[F.col("bits")[j].alias(f"b{j}") for j in range(width)]).toArrow()
+    return got["hi"].to_numpy(), got["lo"].to_numpy(), np.column_stack([got[f"b{j}"].to_numpy() for j in range(width)])
+
+
 def code_lengths(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, _no_id, told, bits, letters) of each row of docs (doc_id, text, told): code length under each language, letters and ENDs.
 
@@ -302,8 +315,7 @@ def code_lengths(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark, width = docs.sparkSession, len(model.languages)
     known = gram_bits(docs, model)
-    often = known.orderBy(F.desc("n"), "hi", "lo").limit(HELD // (width + 2)).select("hi", "lo", "bits").toPandas()
-    held = (often["hi"].to_numpy(np.int64), often["lo"].to_numpy(np.int64), np.array(often["bits"].tolist(), float).reshape(len(often), width), len(model.gain))
+    held = frequent(known, width, HELD // (width + 2)) + (len(model.gain),)
     shared, name = spark.sparkContext.broadcast(held), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

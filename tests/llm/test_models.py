@@ -196,6 +196,15 @@ def test_rare_and_frequent_words_add_up(spark, make, monkeypatch):
         assert {r.doc_id: r.entropy for r in language.identify(docs, model).collect()} == pytest.approx(whole)
 
 
+def test_language_frequent_grams_whole_classes_without_a_sort(spark):
+    rows = [(i, 7 * i, 9 if i < 3 else 4 if i < 8 else 1, [float(i), i / 2]) for i in range(40)]
+    known = spark.createDataFrame(rows, "hi bigint, lo bigint, n bigint, bits array<double>").repartition(5)
+    for most, want in ((2, 0), (3, 3), (7, 3), (8, 8), (39, 8), (40, 40)):
+        hi, lo, bits = language.frequent(known, 2, most)
+        assert sorted(hi) == list(range(want)) and bits.shape == (want, 2)
+        assert (lo == 7 * hi).all() and (bits[:, 0] == hi).all() and (bits[:, 1] == hi / 2).all()
+
+
 def test_language_tells_held_out_rows(small):
     docs = small("documents")
     got = language.identify(docs, language.learn(docs)).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
