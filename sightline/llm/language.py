@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.common import attach, documents, split_ids, texts, whole_ids
-from sightline.llm.labels import SAMPLE, fold, gather, logistic, sigmoid
+from sightline.llm.labels import fold, logistic_rows, sigmoid
 from sightline.llm.registry import query
+from sightline.plans.ranks import quantiles
 from sightline.plans.storage import materialise
 
 ORDER = 5
@@ -357,37 +358,83 @@ def evidence(margin: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return np.column_stack([np.minimum(margin, 4.0), np.log1p(margin * letters)])
 
 
-def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
-    """Models from all texts that may be learned from (crc32 fold 0 of 5 is held out) and have a language.
+def decisions(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, _no_id, told, best, entropy, margin, letters) of each row of docs (doc_id, text, told), written once: narrow rows."""
 
-    Every one of these texts is counted and every gram kept, in tables. Confidence is fitted, and the limit of
-    rejection set, on a bounded sample. More than LANGUAGES languages are an error.
-    """
-    rows = docs.where(F.col("lang").isNotNull() & (fold(5) != 0)).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield pd.concat([rows[["doc_id", "_no_id", "told"]], decide(rows)], axis=1)
+
+    schema = "doc_id bigint, _no_id boolean, told string, best int, entropy double, margin double, letters double"
+    return materialise(code_lengths(docs, model).mapInPandas(run, schema))
+
+
+def count_models(docs: DataFrame, order: int = ORDER) -> Model:
+    """Models from all texts that may be learned from (crc32 fold 0 of 5 is held out) and have a language, not yet calibrated."""
+    rows = docs.select(told_of().alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("lang").isNotNull())
     counts = materialise(count_grams(rows, order))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect())
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    if not languages:
-        return Model([])
-    model = kneser_ney(counts, languages, order)
-    keys = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    tried = rows.join(F.broadcast(keys), "doc_id").withColumnRenamed("lang", "told")
-    told = gather(code_lengths(tried, model).select("doc_id", "told", "bits", "letters"))
-    got = decide(told)
-    right = np.array([*languages, None], object)[got["best"]] == told["told"].to_numpy()
-    got, right = got[got["best"] >= 0], right[got["best"] >= 0].astype(float)
-    model.worst = np.full(len(languages), np.inf)
-    for j in range(len(languages)):
-        own = got.loc[(got["best"] == j) & (got["letters"] >= 20), "entropy"]
-        if len(own):
-            model.worst[j] = own.quantile(0.999) + 0.25
-    if len(np.unique(right)) == 2:
-        model.calibration = logistic(evidence(got["margin"].to_numpy(), got["letters"].to_numpy()), right, ridge=0.1)
+    return kneser_ney(counts, languages, order) if languages else Model([])
+
+
+def told_of() -> Column:
+    """The language of a row that may be learned from, null of all others."""
+    return F.when(fold(5) != 0, F.col("lang"))
+
+
+def calibrate(model: Model, made: DataFrame) -> None:
+    """Set the model's limits of rejection and its confidence by all rows of ``made``, decisions on texts whose language is told.
+
+    The limit of a language is an exact quantile of its rows. Confidence is fitted by Newton steps whose sums are
+    Spark aggregates over all rows; what reaches the driver is a few numbers for each language and step.
+    """
+    told = made.where(F.col("told").isNotNull() & (F.col("best") >= 0))
+    limits = quantiles(told.where(F.col("letters") >= 20), ["entropy"], [0.999], ["best"])
+    model.worst = np.full(len(model.languages), np.inf)
+    for r in limits.collect():
+        model.worst[r["best"]] = r["q"][0] + 0.25
+    names = F.array(*[F.lit(name) for name in model.languages])
+    rows = told.select((F.element_at(names, F.col("best") + 1) == F.col("told")).cast("double").alias("y"), F.least("margin", F.lit(4.0)).alias("x0"), F.log1p(F.col("margin") * F.col("letters")).alias("x1"))
+    if rows.agg(F.countDistinct("y")).first()[0] == 2:
+        # sums are made in any order: what that changes is rounded away
+        model.calibration = np.round(logistic_rows(rows, ["x0", "x1"], "y", ridge=0.1), 9)
     # all right: the prior of a right decision grows with the bits that speak for it, as the class says
+
+
+def learn(docs: DataFrame, order: int = ORDER) -> Model:
+    """Models from all texts that may be learned from (crc32 fold 0 of 5 is held out) and have a language.
+
+    Every one of these texts is counted and every gram kept, in tables; confidence is fitted, and the limit of
+    rejection set, on all of them too. More than LANGUAGES languages are an error.
+    """
+    model = count_models(docs, order)
+    if model.languages:
+        rows = docs.where(told_of().isNotNull())
+        calibrate(model, decisions(texts(rows, F.col("lang").alias("told")), model))
     return model
 
 
+def answers(made: DataFrame, model: Model) -> DataFrame:
+    """``identify``'s columns of decisions."""
+    names, worst, c = np.array([*model.languages, "und"], object), np.append(model.worst, np.inf), model.calibration
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_ids(batches):
+            if len(rows):
+                best, entropy = rows["best"].to_numpy(), rows["entropy"].to_numpy()
+                sure = np.where(best >= 0, sigmoid(c[0] + evidence(rows["margin"].to_numpy(), rows["letters"].to_numpy()) @ c[1:]), 0.0)
+                yield pd.DataFrame({"doc_id": rows["doc_id"].array, "lang_pred": names[best], "score": sure, "entropy": entropy, "rejected": (sure < REJECT) | (entropy > worst[best])})
+
+    return made.drop("told").mapInPandas(run, "doc_id bigint, lang_pred string, score double, entropy double, rejected boolean")
+
+
+def nothing_learned(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(True).alias("rejected"))
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, entropy (bits a letter), rejected of each row.
 
@@ -396,24 +443,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     the first by name. Texts are read whole, runs of over LETTERS letters as several words; repeated rows get the
     same answer; other columns of ``docs`` are left behind; an empty table gives an empty result. Runs jobs when called.
     """
-    schema = "doc_id bigint, lang_pred string, score double, entropy double, rejected boolean"
     if not model.languages:
-        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(True).alias("rejected"))
-    names, worst, c = np.array([*model.languages, "und"], object), np.append(model.worst, np.inf), model.calibration
+        return nothing_learned(docs)
+    return answers(decisions(texts(docs, F.lit(None).cast("string").alias("told")), model), model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_ids(batches):
-            if len(rows):
-                got = decide(rows)
-                best, entropy = got["best"].to_numpy(), got["entropy"].to_numpy()
-                sure = np.where(best >= 0, sigmoid(c[0] + evidence(got["margin"].to_numpy(), got["letters"].to_numpy()) @ c[1:]), 0.0)
-                yield pd.DataFrame({"doc_id": rows["doc_id"].array, "lang_pred": names[best], "score": sure, "entropy": entropy, "rejected": (sure < REJECT) | (entropy > worst[best])})
 
-    return code_lengths(texts(docs, F.lit(None).cast("string").alias("told")), model).mapInPandas(run, schema)
+def learn_and_identify(docs: DataFrame) -> DataFrame:
+    """``identify(docs, learn(docs))`` with every text scored once: the decisions on the training texts calibrate the answers."""
+    model = count_models(docs)
+    if not model.languages:
+        return nothing_learned(docs)
+    made = decisions(texts(docs, told_of().alias("told")), model)
+    calibrate(model, made)
+    return answers(made, model)
 
 
 @query("op5_language")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
-    found = identify(docs, learn(docs))
+    found = learn_and_identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "entropy", "rejected")

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm import language, quality, toxicity
 from sightline.llm.labels import logistic, sigmoid
@@ -212,6 +213,26 @@ def test_language_tells_held_out_rows(small):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.98 and held["score"].between(0, 1).all()
 
 
+def test_language_calibrated_on_all_training_rows(spark):
+    """More training texts than any sample held: the limits and the confidence are those of all of them."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{'aeiou'[i % 5]}" for i in range(300)]
+    rows = [(i, " ".join(words[(i * k) % 300] for k in range(1, 12)) + f" {words[i * i % 300]}" * (i % 7), "en" if i % 40 else "xx") for i in range(16_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    model = language.learn(docs)
+    train = docs.where(language.told_of().isNotNull())
+    made = language.decisions(language.texts(train, F.col("lang").alias("told")), model).toPandas()
+    assert len(made) > 12_000 and made["told"].nunique() == 2
+    for j in set(made["best"]):
+        own = made[(made["best"] == j) & (made["letters"] >= 20)]["entropy"]
+        assert model.worst[j] == pytest.approx(own.quantile(0.999) + 0.25, abs=1e-9)
+    right = (np.array(model.languages)[made["best"]] == made["told"]).to_numpy(float)
+    assert len(set(right)) == 2
+    want = logistic(language.evidence(made["margin"].to_numpy(), made["letters"].to_numpy()), right, ridge=0.1)
+    assert model.calibration == pytest.approx(want, abs=1e-6)
+    once = {r.doc_id: (r.lang_pred, round(r.score, 6), r.rejected) for r in language.learn_and_identify(docs).collect()}
+    assert once == {r.doc_id: (r.lang_pred, round(r.score, 6), r.rejected) for r in language.identify(docs, model).collect()}
+
+
 def test_language_odd(odd, none, spark):
     model = language.learn(odd)
     got = {(r.doc_id, r.lang_pred, r.score > 0) for r in language.identify(odd, model).collect()}
