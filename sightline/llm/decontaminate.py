@@ -32,19 +32,24 @@ UNITS = (
 WORD, NUM, UNIT, NAME, NONE = range(5)
 MARKS = ("", "<num>", "<unit>", "<name>")
 EDGES = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
+NUMBERS, MEASURES = frozenset(NUMBER_WORDS), frozenset(UNITS)
 CODES = [np.uint64(xxhash.xxh64_intdigest(m, 1)) for m in MARKS]
 
 
 def token(raw: str) -> tuple[int, str, int, bool]:
     """(hash, core, kind, ends a sentence) of a raw word; NAME is a capitalised word; whether it is a name depends on its place."""
-    core = EDGES.sub("", raw)
-    ends = raw[-1:] in ".!?:" or raw.rstrip("\"')")[-1:] in ".!?"
+    if letters := raw.isalpha():
+        # nothing to cut off, no digit and no sign
+        core, ends = raw, False
+    else:
+        core = EDGES.sub("", raw)
+        ends = raw[-1:] in ".!?:" or raw.rstrip("\"')")[-1:] in ".!?"
     low = core.lower()
     if not core:
         return 0, "", NONE, ends
-    if NUMBER.match(core) or low in NUMBER_WORDS:
+    if low in NUMBERS or not letters and NUMBER.match(core):
         kind = NUM
-    elif low in UNITS:
+    elif low in MEASURES:
         kind = UNIT
     elif core[0].isupper() and core[1:].islower():
         kind = NAME
@@ -70,18 +75,16 @@ class Tokens:
     def numbers(self, words: list[str]) -> np.ndarray:
         """The number of each word; new ones are added."""
         code = self.code
-        got = list(map(code.get, words))
-        if None in got:
-            for raw in dict.fromkeys(w for w, x in zip(words, got) if x is None):
-                code[raw] = len(self.table)
-                self.table.append(token(raw))
-                self.held += len(raw)
-            got = list(map(code.__getitem__, words))
-            new = self.table[len(self.kinds) :]
-            self.hashes = np.concatenate((self.hashes, np.array([t[0] for t in new], np.uint64)))
-            self.kinds = np.concatenate((self.kinds, np.array([t[2] for t in new], np.int64)))
-            self.ends = np.concatenate((self.ends, np.array([t[3] for t in new], bool)))
-        return np.array(got, np.int64)
+        if unseen := set(words).difference(code):
+            new = [*map(token, unseen)]
+            code.update(zip(unseen, range(len(self.table), len(self.table) + len(new))))
+            self.table += new
+            self.held += sum(map(len, unseen))
+            hashes, _, kinds, ends = zip(*new)
+            self.hashes = np.concatenate((self.hashes, np.array(hashes, np.uint64)))
+            self.kinds = np.concatenate((self.kinds, np.array(kinds, np.int64)))
+            self.ends = np.concatenate((self.ends, np.array(ends, bool)))
+        return np.fromiter(map(code.__getitem__, words), np.int64, len(words))
 
     def tidy(self) -> None:
         """Between batches: start anew once there are too many words or characters."""

@@ -208,3 +208,18 @@ def test_passages_and_windows_without_plain_words(spark, make):
 def test_words_of_any_length(make, items):
     rows = [(1, "x" * 9_000_000 + " a"), (2, "Z " * 100), (3, "y" * 300)]
     assert contaminated(make(rows), items).collect() == []
+
+
+def test_words_of_letters_need_no_patterns(monkeypatch):
+    from sightline.llm import decontaminate
+
+    words = ["plain", "Seven", "Miles", "Anna", "ÜBER", "日本語", "kg.", "3.5%", "(Hello)", "...", "x_y", "don't"]
+    want = []
+    for raw in words:
+        core = decontaminate.EDGES.sub("", raw)
+        want.append((core, bool(decontaminate.NUMBER.match(core)) or core.lower() in decontaminate.NUMBER_WORDS))
+    assert [(t[1], t[2] == decontaminate.NUM) for t in map(decontaminate.token, words)] == want
+    monkeypatch.setattr(decontaminate, "EDGES", None)
+    monkeypatch.setattr(decontaminate, "NUMBER", None)
+    kinds = [decontaminate.token(w)[2] for w in words[:5]]
+    assert kinds == [decontaminate.WORD, decontaminate.NUM, decontaminate.UNIT, decontaminate.NAME, decontaminate.WORD]
