@@ -138,6 +138,7 @@ class WordEncoder:
     WORDS, PIECES = 400_000, 800_000
     #: Letters that are their own normal form and have the same lower case everywhere.
     PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+    LINES = re.compile("[\n!-~\u00a1-\u012f\u0131-\u024f]+")
     MARK = b"\xff\xff\xff\xff"  # no id looks like it
 
     def __init__(self, spec: str):
@@ -168,23 +169,29 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def learn(self, new: set[str]) -> None:
-        plain, fits = [], self.PLAIN.fullmatch
-        odd = [w for w in new if not fits(w)]
-        plain = [w for w in new if fits(w)] if odd else [*new]
+        plain, odd, fits = [*new], [], self.PLAIN.fullmatch
+        joined = "\n".join(plain)
+        # most batches have none of either, which one look at all words tells
+        if not self.LINES.fullmatch(joined):
+            odd = [w for w in plain if not fits(w)]
+            plain = [w for w in plain if fits(w)]
         for special in self.special:
-            if any(special in w for w in plain):
+            if special in joined:
                 odd += [w for w in plain if special in w]
                 plain = [w for w in plain if special not in w]
-        self.words.update(zip(odd, self.whole(odd)))
+        if odd:
+            self.words.update(zip(odd, self.whole(odd)))
+            joined = "\n".join(plain)
         if plain:
-            found = self.cut.findall("\n".join(plain).lower())
-            self.pieces.update((p, self.piece(p)) for p in set(found) - self.pieces.keys())
+            found = self.cut.findall(joined.lower())
+            fresh = set(found).difference(self.pieces)
+            self.pieces.update(zip(fresh, map(self.piece, fresh)))
             self.words.update(zip(plain, b"".join(map(self.pieces.__getitem__, found)).split(self.MARK)))
 
     def encode(self, batch: list[str], end: int) -> list[bytes]:
         """Ids of each text, with ``end`` after the last, as little-endian 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in batch]
-        new = set().union(*split) - self.words.keys()
+        new = set().union(*split).difference(self.words)
         if new:
             self.learn(new)
         found, last = self.words.__getitem__, np.array([end], "<u4").tobytes()

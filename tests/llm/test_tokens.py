@@ -97,3 +97,21 @@ def test_token_files(spark, odd, none):
     ids = lambda t: library.encode(t, add_special_tokens=False).ids + [2]
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(d), len(ids(t)), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for d, t in rows)
     assert token_files.round_trip(none, WORDS).collect() == []
+
+
+def test_plain_words_are_looked_at_together():
+    import public_tokenizers
+    from sightline.llm.token_files import WordEncoder
+
+    class Never:
+        def fullmatch(self, word):
+            raise AssertionError(word)
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as file:
+        coder = WordEncoder(file.read())
+    mixed = ["plain words here", "日本語 and plain", f"x{coder.special[0]}y z", ""]
+    got = coder.encode(mixed, 2)
+    for text, ids in zip(mixed, got):
+        assert [*memoryview(ids).cast("I")] == coder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    coder.PLAIN = Never()
+    assert coder.encode(["only Latin words, 12 of them"], 2)
