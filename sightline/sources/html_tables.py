@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sightline.functions.columns import quoted
 
+#: Pages worth a task of their own, and the most bytes of pages that one task is dealt, about.
+PART_PAGES, PART_BYTES = 1 << 11, 1 << 26
 CELLS = "page_id {kind}, table_no int, row_no int, header boolean, cells array<string>"
 
 
@@ -90,7 +92,16 @@ def html_cells(pages: DataFrame, page_id: str, html: str) -> DataFrame:
 
     # pages without a table never reach Python
     found = pages.where(F.lower(quoted(html)).contains("<table"))
-    return found.select(quoted(page_id).alias("page_id"), quoted(html).alias("html")).mapInPandas(parse, CELLS.format(kind=kind))
+    found = found.select(quoted(page_id).alias("page_id"), quoted(html).alias("html"))
+    return spread_pages(found).mapInPandas(parse, CELLS.format(kind=kind))
+
+
+def spread_pages(pages: DataFrame) -> DataFrame:
+    """The pages dealt out by how many and how large they are: a small file is few splits, but its pages are much work to parse."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    size = pages.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("html").cast("bigint")), F.lit(0)).alias("bytes")).first()
+    parts = max(min(2 * cores, -(-size["rows"] // PART_PAGES)), -(-size["bytes"] // PART_BYTES))
+    return pages.repartition(parts) if parts > 1 else pages
 
 
 def largest_tables(cells: DataFrame) -> DataFrame:

@@ -608,3 +608,12 @@ def test_lookup_parts_identical_rows(spark):
         assert any("_salt" in line and "hashpartitioning" in line for line in out._jdf.queryExecution().executedPlan().toString().split("\n"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_html_pages_of_one_split_are_dealt_out(spark):
+    """A small file is one split; its pages are parsed in several tasks, each page once."""
+    page = F.concat(F.lit("<table><tr><td>"), F.col("id").cast("string"), F.lit("</td></tr></table>"))
+    pages = spark.range(0, 9_000, numPartitions=1).withColumn("html", page)
+    got = html_tables.html_cells(pages, "id", "html").withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in got}) > 1
+    assert sorted((r["page_id"], r["cells"][0]) for r in got) == [(i, str(i)) for i in range(9_000)]
