@@ -32,7 +32,7 @@ from sightline.functions.columns import is_boolean, is_datetime, is_numeric, is_
 from sightline.operators.encoding import label_encode
 from sightline.operators.neighbours import nearest_neighbours, vote
 from sightline.plans.longform import modes, spread
-from sightline.plans.ranks import quantiles
+from sightline.plans.ranks import quantiles, range_count
 from sightline.plans.storage import materialise
 
 SEED = 42
@@ -110,7 +110,7 @@ def prepare(df: DataFrame, target: str, key: Sequence[str], test_size: float = 0
     if texts:
         base = label_encode(base, texts)
     base = base.withColumns({c: quoted(c).cast("double") for c in features})
-    holes = base.agg(*[F.count(F.when(quoted(c).isNull(), 1)) for c in [*features, "_target"]]).first()
+    holes = base.agg(*[F.count(F.when(quoted(c).isNull(), 1)) for c in [*features, "_target"]], F.count("*")).first()
     gaps = [c for c, h in zip(features, holes) if h]
     if gaps:
         middle = quantiles(base, gaps, [0.5]).select("column", F.col("q")[0].alias("m"))
@@ -135,7 +135,10 @@ def prepare(df: DataFrame, target: str, key: Sequence[str], test_size: float = 0
     else:
         base = base.withColumn("label", F.col("_target").cast("double"))
     base = VectorAssembler(inputCols=features, outputCol="raw").transform(base)
-    base = materialise(base.select("key", "id", "is_test", "label", "raw"))
+    base = base.select("key", "id", "is_test", "label", "raw")
+    # a narrow table is few splits of a file, and every pass of a fit would read it in as few tasks
+    parts = range_count(base, holes[len(features) + 1])
+    base = materialise(base.repartition(parts) if parts > 1 else base)
     # the scaler learns from the training rows
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(base.where(~F.col("is_test")))
     data = materialise(scaler.transform(base))

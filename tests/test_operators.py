@@ -617,3 +617,11 @@ def test_html_pages_of_one_split_are_dealt_out(spark):
     got = html_tables.html_cells(pages, "id", "html").withColumn("task", F.spark_partition_id()).collect()
     assert len({r["task"] for r in got}) > 1
     assert sorted((r["page_id"], r["cells"][0]) for r in got) == [(i, str(i)) for i in range(9_000)]
+
+
+def test_prepared_rows_of_one_split_are_dealt_out(spark):
+    """A fit's passes don't read a narrow table in as few tasks as its file has splits."""
+    df = spark.range(0, 40_000, numPartitions=1).select(F.col("id"), (F.col("id") % 97).alias("x"), (F.col("id") * 0.5).alias("y"))
+    p = models.prepare(df, "y", ["id"])
+    assert p.data.select(F.spark_partition_id()).distinct().count() > 1
+    assert p.rows == 40_000 and p.data.select("key.id").distinct().count() == 40_000
