@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import count_if, nan_to_null, numeric_columns, quoted, share
-from sightline.plans.longform import aggregate_rows, spread
+from sightline.plans.longform import aggregate_rows, spreads
 from sightline.plans.ranks import quantiles
 
 
@@ -30,8 +30,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, accuracy:
     """column, outlier_count, outlier_pct, lower_bound, upper_bound"""
     base, cols = _numbers(df, columns)
     bounds = fences(base, cols, accuracy)
-    low, high = spread(bounds, cols, "lower_bound", "_lo"), spread(bounds, cols, "upper_bound", "_hi")
-    row = low.crossJoin(F.broadcast(high))
+    row = spreads(bounds, cols, {"lower_bound": "_lo", "upper_bound": "_hi"})
     rows = []
     for i, c in enumerate(cols):
         x = quoted(c)

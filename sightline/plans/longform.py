@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +72,12 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def spread(table: DataFrame, cols: Sequence[str], field: str, prefix: str) -> DataFrame:
     """A (column, field) table as one row with a field per column, ready to broadcast."""
-    return table.agg(*[F.max(F.when(F.col("column") == c, F.col(field))).alias(f"{prefix}{i}") for i, c in enumerate(cols)])
+    return spreads(table, cols, {field: prefix})
+
+
+def spreads(table: DataFrame, cols: Sequence[str], fields: Mapping[str, str]) -> DataFrame:
+    """``spread`` of several fields, each with its prefix, in one pass over the table."""
+    return table.agg(*[F.max(F.when(F.col("column") == c, F.col(f))).alias(f"{p}{i}") for f, p in fields.items() for i, c in enumerate(cols)])
 
 
 HEAD_ROWS = 256

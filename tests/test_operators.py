@@ -625,3 +625,19 @@ def test_prepared_rows_of_one_split_are_dealt_out(spark):
     p = models.prepare(df, "y", ["id"])
     assert p.data.select(F.spark_partition_id()).distinct().count() > 1
     assert p.rows == 40_000 and p.data.select("key.id").distinct().count() == 40_000
+
+
+def test_cleaning_issues_count_only_texts(spark, monkeypatch):
+    """Values of numbers and dates are not shuffled to tell constant columns; the same columns are found."""
+    asked = []
+    count = longform.distinct_counts
+    monkeypatch.setattr(cleaning, "distinct_counts", lambda df, cols, *a: asked.extend(cols) or count(df, cols, *a))
+    rows = [(i, 1.0, -0.0 if i % 2 else 0.0, None, "a", f"t{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, one double, zeros double, none int, same string, many string")
+    got = {(r["issue"], r["column"]): r["amount"] for r in cleaning.cleaning_issues(df).collect()}
+    assert sorted(asked) == ["many", "same"]
+    assert {k: v for k, v in got.items() if k[0] in ("constant", "high_cardinality")} == {
+        ("constant", "one"): 1, ("constant", "none"): 0, ("constant", "same"): 1, ("high_cardinality", "many"): 60
+    }
+    numbers = cleaning.cleaning_issues(df.select("id", "one")).where("issue = 'constant'").collect()
+    assert [r["column"] for r in numbers] == ["one"]
