@@ -15,7 +15,7 @@ MIN_WORDS = 1
 EDIT_WORDS = 5
 #: A line is cut into so many stretches; two lines one edit apart agree outside one of them.
 STRETCHES = 2
-#: Bits of the filter that keeps lines without a candidate partner out of the join; it is 2 MB and broadcast.
+#: Bits of the filters that keep lines without a candidate partner out of the joins; each is 2 MB and broadcast. A full one costs work, not results.
 FILTER_BITS = 1 << 24
 
 
@@ -24,14 +24,20 @@ def joined_without(array: Column, at: Column, skip: Column, size: Column) -> Col
     return F.concat(F.slice(array, F.lit(1), at), F.slice(array, at + skip + 1, F.greatest(size - at - skip, F.lit(0))))
 
 
+def row_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
     """A row for each line of ``min_words`` words or more: doc_id, _row (hash of the text), pos, line (tabs as spaces), n (words), a, b (128 bits of the line)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # made inside the array, so that each value is computed once and not again in filters and keys above
     spaced = F.replace("text", F.lit("\t"), F.lit(" "))
-    trimmed = F.transform(F.split(spaced, "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(" \r")).alias("line")))
+    # trimming looks at every character, so only lines that need it are trimmed
+    outer = lambda x: x.startswith(" ") | x.startswith("\r") | x.endswith(" ") | x.endswith("\r")
+    trimmed = F.transform(F.split(spaced, "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.when(outer(x), F.trim(x, F.lit(" \r"))).otherwise(x).alias("line")))
     counted = F.transform(trimmed, lambda x: F.struct(x["pos"], x["line"], (F.octet_length(x["line"]) - F.octet_length(F.replace(x["line"], F.lit(" "), F.lit(""))) + 1).alias("n")))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("_row"), F.inline(F.filter(counted, lambda x: (x["n"] >= min_words) & (x["line"] != ""))))
+    rows = rows.select("doc_id", row_hash().alias("_row"), F.inline(F.filter(counted, lambda x: (x["n"] >= min_words) & (x["line"] != ""))))
     return rows.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(1), F.col("line")))
 
 
@@ -52,35 +58,68 @@ def stretch_keys(line: Column, n: Column, stretches: int) -> list[Column]:
     return keys
 
 
-def near_lines(lines: DataFrame, edit_words: int, stretches: int, filter_bits: int) -> DataFrame:
+def keyed_lines(docs: DataFrame, min_words: int, edit_words: int, stretches: int) -> DataFrame:
+    """(doc_id, _row, pos, a, b, keys) of ``lines_of``: the stretch keys of a line in place of its text, null below ``edit_words`` words."""
+    keys = F.when(F.col("n") >= edit_words, F.array(*stretch_keys(F.col("line"), F.col("n"), stretches)))
+    return lines_of(docs, min_words).select("doc_id", "_row", "pos", "a", "b", keys.alias("keys"))
+
+
+def bit_array(keys: DataFrame, bits: int) -> DataFrame:
+    """(_at, _bits) of keys (key): 64 bits a row, those set at which a key lies; bits / 64 rows at most."""
+    spot = F.pmod(F.col("key"), F.lit(bits))
+    words = keys.groupBy(F.shiftright(spot, 6).alias("_at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))).alias("_bits"))
+    return materialise(words)
+
+
+def held(rows: DataFrame, key: str, words: DataFrame, bits: int) -> DataFrame:
+    """The rows whose ``key`` may be among those of a bit array, which is broadcast: none that is goes, some others stay."""
+    spot = F.pmod(F.col(key), F.lit(bits))
+    met = rows.join(F.broadcast(words), F.shiftright(spot, 6) == F.col("_at"))
+    return met.where(F.getbit("_bits", F.pmod(spot, F.lit(64)).cast("int")) == 1).drop("_at", "_bits")
+
+
+def open_lines(placed: DataFrame, stretches: int, filter_bits: int) -> DataFrame:
+    """(a, b, doc_id, _row, pos, on) of each different line of ``placed`` that shares a stretch key with another: its first place, and which stretches the edit may lie in.
+
+    A bit array of the shared keys, broadcast, keeps most other lines out of the shuffle; which of the rest
+    share a key is then told exactly by a join, however full the bit array is.
+    """
+    keyed = placed.select("doc_id", "_row", "pos", "a", "b", F.posexplode("keys").alias("k", "key"))
+    shared = keyed.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi")
+    likely = held(keyed, "key", bit_array(shared, filter_bits), filter_bits)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos", "_row")
+    likely = materialise(likely.groupBy("key", "a", "b").agg(F.min(place).alias("place"), F.min(F.col("k") % stretches).alias("k")))
+    groups = likely.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    sure = attach(likely, groups, ["key"], ["_n"], "_n", likely.count(), F.col("a")).where(F.col("_n").isNotNull())
+    on = F.array(*[F.bool_or(F.col("k") == k) for k in range(stretches)])
+    sure = sure.groupBy("a", "b").agg(F.min("place").alias("place"), on.alias("on"))
+    return materialise(sure.select("a", "b", "place.doc_id", "place._row", "place.pos", "on"))
+
+
+def texts_of(docs: DataFrame, lines: DataFrame, min_words: int, filter_bits: int) -> DataFrame:
+    """(a, b, first, line, n, on) of ``open_lines``: their texts, cut from the documents that hold them, and their order.
+
+    Bit arrays of those documents and lines, broadcast, keep most others out of the work; a join by place decides.
+    """
+    own = held(docs.withColumn("_key", F.xxhash64("doc_id", row_hash())), "_key", bit_array(lines.select(F.xxhash64("doc_id", "_row").alias("key")), filter_bits), filter_bits)
+    cut = held(lines_of(own, min_words), "a", bit_array(lines.select(F.col("a").alias("key")), filter_bits), filter_bits)
+    named = lines.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_of"), F.col("pos").alias("_pos"), "on")
+    met = cut.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")) & (F.col("pos") == F.col("_pos")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos", "a", "b")
+    return materialise(met.groupBy("a", "b").agg(F.min(order).alias("first"), F.first("line").alias("line"), F.first("n").alias("n"), F.first("on").alias("on")))
+
+
+def near_lines(docs: DataFrame, placed: DataFrame, min_words: int, stretches: int, filter_bits: int) -> DataFrame:
     """(a, b) of lines for which an earlier line is one word away.
 
-    Lines that share no stretch key with a different line can have no partner and leave at once
-    (a bit array of the shared keys tells which; a false positive only costs work). The others
+    Lines that share no stretch key with a different line can have no partner and leave at once. The others
     emit the hash of the line with one word deleted, for each word of the stretch concerned, and of
     the whole line. Equal variants with the word deleted at the same place are lines with one word replaced; a
     variant equal to a whole line is a line with one word more. Each variant is grouped with the
-    earliest line only, the edit distance is verified on the words, and no pairs within a group are made.
+    earliest line only, the edit is verified on the text, and no pairs within a group are made.
     """
-    long = lines.where(F.col("n") >= edit_words)
-    keys = stretch_keys(F.col("line"), F.col("n"), stretches)
-    shared = long.select("a", F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi")
-    spot = F.pmod(F.col("key"), F.lit(filter_bits))
-    words = shared.groupBy(F.shiftright(spot, 6).alias("_at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))).alias("_bits"))
-    words = materialise(words)  # filter_bits / 64 rows at most
-    # a generator, so that each key is computed once and not again in each place that reads it
-    long = long.select("doc_id", "pos", "line", "a", "b", F.inline(F.array(F.struct(*[F.pmod(key, F.lit(filter_bits)).alias(f"_key{k}") for k, key in enumerate(keys)]))))
-    for k in range(2 * stretches):
-        spot = F.col(f"_key{k}")
-        own = words.select(F.col("_at").alias(f"_at{k}"), F.col("_bits").alias(f"_bits{k}"))
-        long = long.join(F.broadcast(own), F.shiftright(spot, 6) == F.col(f"_at{k}"), "left")
-        long = long.withColumn(f"_on{k}", F.coalesce(F.getbit(F.col(f"_bits{k}"), F.pmod(spot, F.lit(64)).cast("int")) == 1, F.lit(False))).drop(f"_at{k}", f"_bits{k}")
-    on = F.array(*[F.col(f"_on{k}") | F.col(f"_on{k + stretches}") for k in range(stretches)])
-    open_ = long.withColumn("on", on).where(F.exists("on", lambda x: x))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos", "a", "b")
-    texts = open_.groupBy("a", "b").agg(F.min(order).alias("first"), F.first("line").alias("line"), F.first("on").alias("on"))
-    texts = materialise(texts)
-    rows = texts.withColumn("words", F.split("line", " ")).withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("h"))
+    texts = texts_of(docs, open_lines(placed, stretches, filter_bits), min_words, filter_bits)
+    rows = texts.withColumn("words", F.split("line", " ")).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     # places to delete at: those of the stretches on, with a word to spare since the partner may be a word shorter
     ranges = []
     for k in range(stretches):
@@ -99,42 +138,38 @@ def near_lines(lines: DataFrame, edit_words: int, stretches: int, filter_bits: i
     replaced = attach(rows.where("i >= 0"), same, ["v", "u", "i"], ["before"], "_n", total, F.col("a")).where(F.col("before") < F.col("first"))
     # one word more: a variant equal to a whole line, of which there is one
     whole = rows.where("i < 0").select("v", "u", F.col("first").alias("short"))
-    cut = rows.where("i >= 0").groupBy("v", "u").agg(F.min("first").alias("long"), F.count("*").alias("_n")).join(whole, ["v", "u"])
+    cut = rows.where("i >= 0").groupBy("v", "u").agg(F.min(F.struct("first", "i")).alias("long"), F.count("*").alias("_n")).join(whole, ["v", "u"])
     longer = attach(rows.where("i >= 0"), cut, ["v", "u"], ["short"], "_n", total, F.col("a")).where(F.col("short") < F.col("first"))
-    shorter = cut.where(F.col("long") < F.col("short"))
+    shorter = cut.where(F.col("long.first") < F.col("short"))
     pairs = (
-        replaced.select("a", "b", F.col("before.a").alias("ea"), F.col("before.b").alias("eb"))
-        .union(longer.select("a", "b", "short.a", "short.b"))
-        .union(shorter.select("short.a", "short.b", "long.a", "long.b"))
-        .distinct()
+        replaced.select("a", "b", F.col("before.a").alias("ea"), F.col("before.b").alias("eb"), "i")
+        .union(longer.select("a", "b", "short.a", "short.b", "i"))
+        .union(shorter.select("short.a", "short.b", "long.first.a", "long.first.b", "long.i"))
+        .groupBy("a", "b", "ea", "eb")
+        .agg(F.min("i").alias("i"))
     )
     pairs = materialise(pairs)
-    named = texts.select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("line").alias("earlier"))
+    named = texts.select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("line").alias("earlier"), F.col("n").alias("en"))
     hubs = pairs.groupBy("ea", "eb").agg(F.count("*").alias("_n")).join(named, ["ea", "eb"])
-    both = attach(pairs, hubs, ["ea", "eb"], ["earlier"], "_n", pairs.count(), F.col("a"))
-    both = both.join(texts.select("a", "b", "line"), ["a", "b"]).where(one_apart(F.split("line", " "), F.split("earlier", " ")))
+    both = attach(pairs, hubs, ["ea", "eb"], ["earlier", "en"], "_n", pairs.count(), F.col("a"))
+    both = both.join(texts.select("a", "b", "line", "n"), ["a", "b"]).where(one_apart(F.col("line"), F.col("n"), F.col("earlier"), F.col("en"), F.col("i")))
     return both.select("a", "b").distinct()
 
 
-def one_apart(x: Column, y: Column) -> Column:
-    """Whether the edit distance of two word sequences is 1 or less, by what is left without their common start and end."""
-    n, m = F.size(x), F.size(y)
-    short = F.least(n, m)
-    differ = F.filter(F.sequence(F.lit(1), short), lambda i: F.element_at(x, i) != F.element_at(y, i))
-    start = F.when(F.size(differ) > 0, F.element_at(F.when(F.size(differ) > 0, differ), 1) - 1).otherwise(short)
-    rest_x, rest_y = n - start, m - start
-    cut_x = F.slice(x, start + 1 + F.when(rest_x >= rest_y, 1).otherwise(0), F.greatest(rest_x, F.lit(0)))
-    cut_y = F.slice(y, start + 1 + F.when(rest_y >= rest_x, 1).otherwise(0), F.greatest(rest_y, F.lit(0)))
-    return (F.abs(n - m) <= 1) & (cut_x == cut_y)
+def one_apart(x: Column, n: Column, y: Column, m: Column, i: Column) -> Column:
+    """Whether lines x of n and y of m words agree but for one word: replaced at place ``i`` (from 0), or one more there in the longer line."""
+    words = lambda line, count: F.call_function("substring_index", line, F.lit(" "), count)
+    after = i + 1 - F.greatest(n, m)
+    return (F.abs(n - m) <= 1) & (words(x, i) == words(y, i)) & (words(x, after) == words(y, after))
 
 
 def cut_lines(docs: DataFrame, min_words: int, edit_words: int, stretches: int, filter_bits: int) -> DataFrame:
     """(doc, text, n_lines, n_dropped): each row of ``docs`` as a struct, where no column's name can clash, with its text cut to the lines that stay."""
-    lines = lines_of(docs, min_words)
-    near = near_lines(lines, edit_words, stretches, filter_bits).withColumn("near", F.lit(True))
+    placed = materialise(keyed_lines(docs.select("doc_id", "text"), min_words, edit_words, stretches))
+    near = near_lines(docs.select("doc_id", "text"), placed, min_words, stretches, filter_bits).withColumn("near", F.lit(True))
     # a document's number (nulls last) and a line's place in one number, of which a hash aggregate can keep the least
     order = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
-    placed = materialise(lines.select("doc_id", "_row", "pos", "a", "b"))
+    placed = placed.drop("keys")
     total = placed.count()
     once = placed.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("_n"))
     facts = once.join(near, ["a", "b"], "left").where("_n > 1 or near")

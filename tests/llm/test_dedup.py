@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sightline.llm import simhash
+from sightline.llm import line_dedup, simhash
 from sightline.llm.common import attach, components
 from sightline.llm.exact_dedup import exact_groups
 from sightline.llm.line_dedup import dedup_lines
@@ -238,6 +238,25 @@ def test_lines_hot_line_in_a_third_of_rows(make):
     assert got[0].n_dropped == 0 and all(got[i].n_dropped == 1 for i in range(3, 600, 3)) and all(got[i].n_dropped == 0 for i in range(1, 600, 3))
 
 
+def test_lines_open_by_shared_keys_alone_however_full_the_filter(make):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(900)}" for _ in range(rng.randint(5, 12))] for _ in range(60)]
+    near = [[*w[:i], "other", *w[i + 1 :]] for w in base[:10] for i in [rng.randrange(len(w))]]
+    docs = make([(i, " ".join(w)) for i, w in enumerate(base + near + base[20:25])] + [(None, "\n" + " ".join(base[12][:-1]) + "\r")])
+    placed = line_dedup.keyed_lines(docs, 1, 5, 2).cache()
+    holders = {}
+    for r in placed.collect():
+        for key in r["keys"] or ():
+            holders.setdefault(key, set()).add((r.a, r.b))
+    want = {line for group in holders.values() if len(group) > 1 for line in group}
+    assert 22 <= len(want) < 60
+    for bits in (64, 1 << 16):  # every bit set, hardly one set
+        got = line_dedup.open_lines(placed, 2, bits).collect()
+        assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+        by = {r.doc_id: r.text for r in dedup_lines(docs, filter_bits=bits).collect()}
+        assert [i for i in range(75) if not by[i]] == [*range(60, 75)] and by[None] == ""
+
+
 def test_links_are_exact_and_recall_is_measured(make):
     """200 single pairs at each similarity: none linked at 0.7, nearly all at 0.8 and at 0.9; a group of copies with one edit each is whole."""
     rng = random.Random(6)
