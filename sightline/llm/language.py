@@ -7,6 +7,7 @@ array of fixed size, words with any other gram go to the tables. So no model has
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -36,12 +37,14 @@ REJECT = 0.5
 START, END = 1, 2
 #: Bits of a code point: three letters fill ``lo``, the two before them ``hi``.
 BITS = 21
+NO_LETTERS = string.punctuation + string.digits
 MASK = (1 << BITS) - 1
 
 
 def letters_of(token: str) -> list[str]:
     """The runs of letters in a token, lower-cased, in pieces of at most LETTERS; digits and signs cut."""
-    low = token.lower()
+    # signs and digits at the ends are what most tokens without a pure run have
+    low = token.lower().strip(NO_LETTERS)
     runs = [low] if low.isalpha() else "".join(c if c.isalpha() else " " for c in low).split()
     if len(low) <= LETTERS:
         return runs
@@ -89,10 +92,10 @@ def first_letter(k: int, hi: Column, lo: Column) -> Column:
 
 
 def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, hi, lo, n): grams of the highest order in all texts of docs (lang, text), summed in each task before the shuffle."""
+    """(lang, hi, lo, n): grams of the highest order in all texts of docs (lang, text), summed in each task before the shuffle; a null lang is one of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Counter] = {}
+        held: dict[str | None, Counter] = {}
 
         def flush():
             for lang, tokens in held.items():
@@ -101,8 +104,9 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     for w in letters_of(token):
                         words[w] += n
                 hi, lo, word = grams([*words], order)
-                made = pd.DataFrame({"lang": lang, "hi": hi, "lo": lo, "n": np.fromiter(words.values(), np.int64, len(words))[word]})
-                yield made.groupby(["lang", "hi", "lo"], as_index=False)["n"].sum()
+                made = pd.DataFrame({"hi": hi, "lo": lo, "n": np.fromiter(words.values(), np.int64, len(words))[word]})
+                made = made.groupby(["hi", "lo"], as_index=False)["n"].sum()
+                yield pd.DataFrame({"lang": np.full(len(made), lang, object), "hi": made["hi"], "lo": made["lo"], "n": made["n"]})
             held.clear()
 
         size = 0
@@ -190,9 +194,14 @@ def probabilities(found: DataFrame, model: Model) -> DataFrame:
     return below
 
 
-def gram_bits(docs: DataFrame, model: Model) -> DataFrame:
-    """(hi, lo, n, bits) of the distinct grams of all texts of docs: how often, and the last letter's code length under each language."""
-    found = materialise(count_grams(docs.select(F.lit("").alias("lang"), "text"), len(model.gain)).drop("lang"))
+def gram_bits(docs: DataFrame, model: Model, counts: DataFrame | None = None) -> DataFrame:
+    """(hi, lo, n, bits) of the distinct grams of all texts of docs: how often, and the last letter's code length under each language.
+
+    ``counts``, if given, are those of ``count_grams`` over the same texts, which are then not read again.
+    """
+    if counts is None:
+        counts = count_grams(docs.select(F.lit("").alias("lang"), "text"), len(model.gain))
+    found = materialise(counts.groupBy("hi", "lo").agg(F.sum("n").alias("n")))
     return materialise(probabilities(found, model).select("hi", "lo", "n", F.transform("p", lambda p: -F.log2(p)).alias("bits")))
 
 
@@ -256,25 +265,27 @@ class Scorer:
         each, owner = self.lengths(flat), np.repeat(np.arange(len(new)), many)
         own = np.zeros((len(new), each.shape[1]))
         np.add.at(own, owner, each)
-        open_ = {new[i] for i in owner[each[:, -1] == 0]}
         missing = {w for w, held in zip(flat, each[:, -1] > 0) if not held}
-        known = dict(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-        table = np.concatenate((self.rows, own))
-        # tokens with a word to be looked up elsewhere, and very long ones, are not remembered
-        keep = [i for i, t in enumerate(new) if t not in open_ and len(t) <= 64]
+        # tokens with a word to be looked up elsewhere, and very long ones, are not remembered and come last
+        rank = np.fromiter((len(t) > 64 for t in new), np.int64, len(new))
+        rank[owner[each[:, -1] == 0]] = 2
+        order, start = np.argsort(rank, kind="stable"), len(self.rows)
+        table = np.concatenate((self.rows, own[order]))
+        self.known.update(zip([new[i] for i in order], range(start, len(table))))
+        keep, first_open = start + np.count_nonzero(rank == 0), start + np.count_nonzero(rank < 2)
         out, rest = np.zeros((len(batch), table.shape[1])), []
         for i, t in enumerate(tokens):
-            if t:
-                out[i] = table[[known[x] if x in known else self.known[x] for x in t]].sum(axis=0) if known else self.rows[[self.known[x] for x in t]].sum(axis=0)
-            far = Counter(x for x in t if x in open_) if open_ else {}
+            at = np.fromiter(map(self.known.__getitem__, t), np.int64, len(t))
+            out[i] = table[at].sum(axis=0)
             words: Counter = Counter()
-            for x, n in far.items():
-                for w in letters_of(x):
+            for j, n in zip(*np.unique(at[at >= first_open], return_counts=True)):
+                for w in runs[order[j - start]]:
                     if w in missing:
-                        words[w] += n
+                        words[w] += int(n)
             rest.append(words)
-        self.known.update(zip([new[i] for i in keep], range(len(self.rows), len(self.rows) + len(keep))))
-        self.rows = np.concatenate((self.rows, own[keep]))
+        for i in order[keep - start :]:
+            del self.known[new[i]]
+        self.rows = table[:keep]
         return out, rest
 
 
@@ -308,14 +319,14 @@ def frequent(known: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.nd
     return got["hi"].to_numpy(), got["lo"].to_numpy(), np.column_stack([got[f"b{j}"].to_numpy() for j in range(width)])
 
 
-def code_lengths(docs: DataFrame, model: Model) -> DataFrame:
+def code_lengths(docs: DataFrame, model: Model, counts: DataFrame | None = None) -> DataFrame:
     """(doc_id, _no_id, told, bits, letters) of each row of docs (doc_id, text, told): code length under each language, letters and ENDs.
 
     The most frequent grams, HELD values in all, are broadcast, and words made of them are summed where the text is read.
     The others go by word to their grams' code lengths, skew-safe, and back by row.
     """
     spark, width = docs.sparkSession, len(model.languages)
-    known = gram_bits(docs, model)
+    known = gram_bits(docs, model, counts)
     held = frequent(known, width, HELD // (width + 2)) + (len(model.gain),)
     shared, name = spark.sparkContext.broadcast(held), uuid.uuid4().hex
 
@@ -358,8 +369,11 @@ def evidence(margin: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return np.column_stack([np.minimum(margin, 4.0), np.log1p(margin * letters)])
 
 
-def decisions(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, _no_id, told, best, entropy, margin, letters) of each row of docs (doc_id, text, told), written once: narrow rows."""
+def decisions(docs: DataFrame, model: Model, counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, _no_id, told, best, entropy, margin, letters) of each row of docs (doc_id, text, told), written once: narrow rows.
+
+    ``counts``, if at hand, are those of ``count_grams`` over the same texts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -367,13 +381,17 @@ def decisions(docs: DataFrame, model: Model) -> DataFrame:
                 yield pd.concat([rows[["doc_id", "_no_id", "told"]], decide(rows)], axis=1)
 
     schema = "doc_id bigint, _no_id boolean, told string, best int, entropy double, margin double, letters double"
-    return materialise(code_lengths(docs, model).mapInPandas(run, schema))
+    return materialise(code_lengths(docs, model, counts).mapInPandas(run, schema))
+
+
+def count_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``count_grams`` of all texts of docs, by the language told; null for those that may not be learned from."""
+    return materialise(count_grams(docs.select(told_of().alias("lang"), F.coalesce("text", F.lit("")).alias("text")), order))
 
 
-def count_models(docs: DataFrame, order: int = ORDER) -> Model:
-    """Models from all texts that may be learned from (crc32 fold 0 of 5 is held out) and have a language, not yet calibrated."""
-    rows = docs.select(told_of().alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("lang").isNotNull())
-    counts = materialise(count_grams(rows, order))
+def count_models(counts: DataFrame, order: int = ORDER) -> Model:
+    """Models from the counts of all texts that may be learned from (crc32 fold 0 of 5 is held out) and have a language, not yet calibrated."""
+    counts = counts.where(F.col("lang").isNotNull())
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect())
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -410,10 +428,11 @@ def learn(docs: DataFrame, order: int = ORDER) -> Model:
     Every one of these texts is counted and every gram kept, in tables; confidence is fitted, and the limit of
     rejection set, on all of them too. More than LANGUAGES languages are an error.
     """
-    model = count_models(docs, order)
+    rows = docs.where(told_of().isNotNull())
+    counts = count_texts(rows, order)
+    model = count_models(counts, order)
     if model.languages:
-        rows = docs.where(told_of().isNotNull())
-        calibrate(model, decisions(texts(rows, F.col("lang").alias("told")), model))
+        calibrate(model, decisions(texts(rows, F.col("lang").alias("told")), model, counts))
     return model
 
 
@@ -449,11 +468,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def learn_and_identify(docs: DataFrame) -> DataFrame:
-    """``identify(docs, learn(docs))`` with every text scored once: the decisions on the training texts calibrate the answers."""
-    model = count_models(docs)
+    """``identify(docs, learn(docs))`` with every text counted and scored once: the decisions on the training texts calibrate the answers."""
+    counts = count_texts(docs)
+    model = count_models(counts)
     if not model.languages:
         return nothing_learned(docs)
-    made = decisions(texts(docs, told_of().alias("told")), model)
+    made = decisions(texts(docs, told_of().alias("told")), model, counts)
     calibrate(model, made)
     return answers(made, model)
 

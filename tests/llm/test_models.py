@@ -233,6 +233,28 @@ def test_language_calibrated_on_all_training_rows(spark):
     assert once == {r.doc_id: (r.lang_pred, round(r.score, 6), r.rejected) for r in language.identify(docs, model).collect()}
 
 
+def test_language_texts_counted_once_with_those_of_no_language(spark, monkeypatch):
+    rows = [(i, f"{w} mo{w}, {i}{w}. 7", lang) for i in range(40) for w, lang in ((("la", "x"), ("ke", "y"), ("du", None))[i % 3],)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    once = {(r.hi, r.lo): r.n for r in language.count_grams(docs.select(F.lit("").alias("lang"), "text")).collect()}
+    apart, told = {}, set()
+    for r in language.count_texts(docs).collect():
+        apart[r.hi, r.lo] = apart.get((r.hi, r.lo), 0) + r.n
+        told.add(r.lang)
+    assert apart == once and told == {"x", "y", None}
+    calls, count = [], language.count_grams
+    monkeypatch.setattr(language, "count_grams", lambda *args: calls.append(args) or count(*args))
+    got = {r.doc_id: r.lang_pred for r in language.learn_and_identify(docs).collect()}
+    assert len(calls) == 1 and len(got) == 40 and all(got[i] == "xy"[i % 3] for i in range(40) if i % 3 < 2)
+
+
+def test_language_tokens_split_as_letter_by_letter():
+    odd = ["erly.", "(a-b", "c3d9", "12", "--", "É.", "中文，字", "ʼn1", "İx!", "²x", "_" * 40 + "ab" + "c" * 40 + "9", "x" * 33]
+    for token in odd:
+        runs = "".join(c if c.isalpha() else " " for c in token.lower()).split()
+        assert language.letters_of(token) == [r[i : i + 32] for r in runs for i in range(0, len(r), 32)]
+
+
 def test_language_odd(odd, none, spark):
     model = language.learn(odd)
     got = {(r.doc_id, r.lang_pred, r.score > 0) for r in language.identify(odd, model).collect()}
