@@ -133,13 +133,17 @@ def near_lines(docs: DataFrame, placed: DataFrame, min_words: int, stretches: in
     rows = materialise(rows)
     total = rows.count()
 
+    # few variants meet another: bit arrays of those that do keep most of the rest out of the joins
+    meeting = lambda met: held(rows.where("i >= 0"), "v", bit_array(met.select(F.col("v").alias("key")), filter_bits), filter_bits)
     # one word replaced: the same rest, deleted at the same place
     same = rows.where("i >= 0").groupBy("v", "u", "i").agg(F.min("first").alias("before"), F.count("*").alias("_n")).where("_n > 1")
-    replaced = attach(rows.where("i >= 0"), same, ["v", "u", "i"], ["before"], "_n", total, F.col("a")).where(F.col("before") < F.col("first"))
+    same = materialise(same)
+    replaced = attach(meeting(same), same, ["v", "u", "i"], ["before"], "_n", total, F.col("a")).where(F.col("before") < F.col("first"))
     # one word more: a variant equal to a whole line, of which there is one
     whole = rows.where("i < 0").select("v", "u", F.col("first").alias("short"))
     cut = rows.where("i >= 0").groupBy("v", "u").agg(F.min(F.struct("first", "i")).alias("long"), F.count("*").alias("_n")).join(whole, ["v", "u"])
-    longer = attach(rows.where("i >= 0"), cut, ["v", "u"], ["short"], "_n", total, F.col("a")).where(F.col("short") < F.col("first"))
+    cut = materialise(cut)
+    longer = attach(meeting(cut), cut, ["v", "u"], ["short"], "_n", total, F.col("a")).where(F.col("short") < F.col("first"))
     shorter = cut.where(F.col("long.first") < F.col("short"))
     pairs = (
         replaced.select("a", "b", F.col("before.a").alias("ea"), F.col("before.b").alias("eb"), "i")
