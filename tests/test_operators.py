@@ -12,7 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sightline.operators import anomaly, audit, chart_data, cleaning, clusters, encoding, fuzzy, models, neighbours
+from sightline.operators import anomaly, audit, chart_data, cleaning, clusters, encoding, fuzzy, models, near_texts, neighbours
 from sightline.operators import personal_data, profile, readiness, shapley, trust, type_repair
 from sightline.plans import longform
 from sightline.sources import html_tables, readers, writers
@@ -314,6 +314,46 @@ def test_fuzzy_alignment_stops_and_is_exact():
     assert whole[3] == 3900 and all(fuzzy.similarity(text, t) == 2 * w / 8000 for t, w in zip(far, whole))
 
 
+def edited(rng, text, letters, place):
+    """``text`` with 0 to 17 in a hundred characters deleted and as many inserted, all over, at one place or at the ends."""
+    out, share = list(text), rng.uniform(0, 0.17)
+    for change in ["delete"] * int(len(text) * share) + ["insert"] * int(len(text) * rng.choice([0, share])):
+        at = {"all": rng.randrange(len(out) + 1), "one": len(out) // 3, "ends": rng.choice([0, len(out)])}[place]
+        if change == "insert":
+            out.insert(at, rng.choice(letters))
+        elif out:
+            del out[min(at, len(out) - 1)]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85, 0.95])
+def test_fuzzy_unlike_texts_are_ruled_out_before_an_alignment(threshold, monkeypatch):
+    monkeypatch.setattr(near_texts, "FEW", 0)
+    monkeypatch.setattr(near_texts, "LAST", 0)
+    rng = random.Random(17)
+    letters = "eeeeetttaaooiinnsshhrrdlcumwfgypbvk      " + "日本語"
+    texts = ["".join(rng.choices(letters, k=k)) for k in (40, 90, 200, 400, 400, 900, 1000, 1700) for _ in range(6)]
+    texts += [edited(rng, t, letters, place) for t in texts for place in ("all", "one", "ends")]
+    rng.shuffle(texts)
+    kept = {(max(i, j), min(i, j)) for i, js in near_texts.near_pairs(texts, None, threshold) for j in js.tolist()}
+    half = len(texts) // 2
+    sides = [(texts[:half], texts[half:], False), (texts[half:], texts[:half], True)]
+    crossed = [{(i, j) for i, js in near_texts.near_pairs(a, b, threshold, strict) for j in js.tolist()} for a, b, strict in sides]
+    alike, unlike = 0, 0
+    places = [fuzzy._places(t) for t in texts]
+    sizes = np.array([len(t) for t in texts])
+    for i, text in enumerate(texts):
+        common = fuzzy._common(text, places[:i], sizes[:i], fuzzy._needed(sizes[:i] + len(text), threshold)) if i else np.zeros(0)
+        for j in np.flatnonzero(common >= 0).tolist():
+            assert (i, j) in kept
+            assert (i < half or j >= half) or (j, i - half) in crossed[0] or (i - half, j) in crossed[1]
+        alike += int((common >= 0).sum())
+        unlike += int((common < 0).sum())
+    assert alike > 50
+    # at 0.6 random texts of these letters are nearly alike
+    assert threshold < 0.8 or len(kept) - alike < 0.01 * unlike
+
+
 def test_fuzzy_pairs_are_aligned_once(spark, monkeypatch):
     met = []
     monkeypatch.setattr(fuzzy, "_meet", lambda texts, leaders, *a, _own=fuzzy._meet, **k: met.append((texts.count(), leaders.count())) or _own(texts, leaders, *a, **k))
