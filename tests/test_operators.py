@@ -354,6 +354,28 @@ def test_fuzzy_unlike_texts_are_ruled_out_before_an_alignment(threshold, monkeyp
     assert threshold < 0.8 or len(kept) - alike < 0.01 * unlike
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_fuzzy_moved_texts_are_kept_up_to_the_threshold(threshold, monkeypatch):
+    monkeypatch.setattr(near_texts, "FEW", 0)
+    monkeypatch.setattr(near_texts, "LAST", 0)
+    rng = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n in (300, 1000, 3000):
+        for first, second in ((0, n), (n // 10, n // 2), (n // 3, 2 * n // 3), (n // 2, n)):
+            text = "".join(rng.choices(letters, k=n))
+            gap = min(int((1 - threshold) * n), second - first)
+            new = "".join(rng.choices("#$%&", k=gap))
+            # a block out and one in: all between is moved as far as the threshold allows
+            for other in (text[:first] + text[first + gap : second] + new + text[second:], text[:first] + new + text[first : second - gap] + text[second:]):
+                assert fuzzy.similarity(text, other) >= threshold
+                assert len(list(near_texts.near_pairs([text], [other], threshold))) == 1
+                assert len(list(near_texts.near_pairs([other], [text], threshold))) == 1
+                # and without what came in
+                less = text[:first] + text[first + 2 * gap :]
+                if len(less) >= n - 2 * gap and fuzzy.similarity(text, less) >= threshold:
+                    assert len(list(near_texts.near_pairs([text], [less], threshold))) == 1
+
+
 def test_fuzzy_pairs_are_aligned_once(spark, monkeypatch):
     met = []
     monkeypatch.setattr(fuzzy, "_meet", lambda texts, leaders, *a, _own=fuzzy._meet, **k: met.append((texts.count(), leaders.count())) or _own(texts, leaders, *a, **k))
